@@ -23,11 +23,15 @@ def check_window(size: int) -> None:
 
 def _chunked(rows: DataFrame) -> DataFrame:
     """Adds ``_chunk``: 0 for an ordinary city, a span of arrivals for a hot one."""
-    span = F.floor((F.col("seq") - F.col("_low")) / F.col("_width"))
+    span = F.expr("(seq - _low) div _width")
     chunk = F.when(F.col("_width").isNull(), F.lit(0)).otherwise(span)
     return rows.withColumn("_chunk", chunk.cast("long")).drop("_low", "_width")
 
 
+def _in_chunk(rows: DataFrame, chunk: int) -> DataFrame:
+    return rows.drop("_low", "_width").withColumn("_chunk", F.lit(chunk).cast("long"))
+
+
 def _lead_in(tails: DataFrame, size: int) -> DataFrame:
     """For each chunk of a hot city, the values that came just before it.
 
@@ -43,15 +47,31 @@ def _lead_in(tails: DataFrame, size: int) -> DataFrame:
     )
     # every chunk holds at least one value, so `size` chunks always suffice
     earlier = W.partitionBy("city").orderBy("_chunk").rowsBetween(-size, -1)
-    values = last_of_array(F.flatten(F.collect_list("_tail").over(earlier)), size)
     return (
-        per_chunk.withColumn("_values", values)
+        per_chunk.withColumn("_tails", F.collect_list("_tail").over(earlier))
         .where(F.col("_chunk") > BEFORE_ALL)
-        .select("city", "_chunk", F.posexplode("_values").alias("seq", "aqi"))
-        .withColumn("seq", F.col("seq").cast("long"))
+        .withColumn("_values", F.flatten("_tails"))
+        .select("city", "_chunk", F.posexplode(last_of_array(F.col("_values"), size)))
+        .select("city", "_chunk", F.col("pos").cast("long").alias("seq"), F.col("col").alias("aqi"))
     )
 
 
+def _split(
+    readings: DataFrame, carried: DataFrame | None, hot: DataFrame, size: int
+) -> tuple[DataFrame, list[DataFrame]]:
+    """Readings with their chunk, and the earlier values each chunk needs."""
+    narrow = readings.select("city", "seq", "aqi")
+    tails = _chunked(with_hot(narrow, hot, "city", "inner"))
+    earlier = []
+    if carried is not None:
+        listed = with_hot(carried, hot, "city")
+        is_hot = F.col("_width").isNotNull()
+        tails = tails.unionByName(_in_chunk(listed.where(is_hot), BEFORE_ALL))
+        earlier.append(_in_chunk(listed.where(~is_hot), 0))
+    earlier.append(_lead_in(tails, size))
+    return _chunked(with_hot(readings, hot, "city")), earlier
+
+
 def rolling_ema(
     readings: DataFrame,
     size: int = WINDOW_SIZE,
@@ -67,42 +87,30 @@ def rolling_ema(
     ``carried`` holds ``(city, seq, aqi)`` of values that came before all of
     ``readings``; they feed the averages but do not come out.
 
-    Rows shuffle once, on city and chunk. A city is one chunk unless it is
-    hot; a hot city is cut into spans of arrivals, each preceded by copies of
-    the last values before it, so no task ever holds a whole hot city.
+    Whole rows shuffle once, on the city. Where some city is hot, the shuffle
+    is on city and chunk: a hot city is cut into spans of arrivals, each
+    preceded by copies of the last values before it, so that no task holds a
+    whole hot city and every average still sees the values it needs.
     """
     check_window(size)
     columns = readings.columns
     hot = hot_keys(readings, "city", "seq", split_rows)
-    narrow = readings.select("city", "seq", "aqi")
-
-    tails = _chunked(with_hot(narrow, hot, "city", "inner"))
-    extra = []
     if carried is not None:
-        carried = with_hot(carried.select("city", F.col("seq").cast("long"), "aqi"), hot, "city")
-        is_hot = F.col("_width").isNotNull()
-        tails = tails.unionByName(
-            carried.where(is_hot)
-            .drop("_low", "_width")
-            .withColumn("_chunk", F.lit(BEFORE_ALL).cast("long"))
-        )
-        extra.append(
-            carried.where(~is_hot)
-            .drop("_low", "_width")
-            .withColumn("_chunk", F.lit(0).cast("long"))
-        )
-    extra.append(_lead_in(tails, size))
-
-    every = _chunked(with_hot(readings, hot, "city")).withColumn("_live", F.lit(True))
-    for part in extra:
-        every = every.unionByName(part.withColumn("_live", F.lit(False)), allowMissingColumns=True)
-
-    arrivals = W.partitionBy("city", "_chunk").orderBy("_live", "seq")
-    if size <= MAX_COLUMNS:
-        scored = _by_columns(every, arrivals, size)
+        carried = carried.select("city", F.col("seq").cast("long"), "aqi")
+    if hot is None:
+        group, rows = ["city"], readings
+        earlier = [] if carried is None else [carried]
     else:
-        scored = _by_array(every, arrivals, size)
-    return scored.where("_live").select(*columns, "ema_before", "ema_after")
+        group = ["city", "_chunk"]
+        rows, earlier = _split(readings, carried, hot, size)
+
+    # earlier values sort before the readings, whatever their numbers
+    rows = rows.withColumn("_live", F.lit(True))
+    for part in earlier:
+        rows = rows.unionByName(part.withColumn("_live", F.lit(False)), allowMissingColumns=True)
+    arrivals = W.partitionBy(*group).orderBy("_live", "seq")
+    averaged = (_by_columns if size <= MAX_COLUMNS else _by_array)(rows, arrivals, size)
+    return averaged.where("_live").select(*columns, "ema_before", "ema_after")
 
 
 def _by_columns(rows: DataFrame, arrivals, size: int) -> DataFrame:

@@ -33,19 +33,23 @@ def hot_keys(
     order: str,
     split_rows: int = SPLIT_ROWS,
     max_hot: int = MAX_HOT_KEYS,
-) -> DataFrame:
+) -> DataFrame | None:
     """``(_digest, _low, _width)`` of the keys that hold too many rows.
 
-    ``_width`` is the span of arrival numbers that holds about ``split_rows``
-    of the key's rows. Fewer than ``max_hot`` rows come out.
+    None if there are none, so the usual plan stays plain. That is found out
+    here, by one job that reads two columns, combines map side and brings two
+    numbers back. ``_width`` is the span of arrival numbers that holds about
+    ``split_rows`` of the key's rows.
     """
     counts = rows.groupBy(key_digest(key).alias("_digest")).agg(
         F.count(F.lit(1)).alias("_n"), F.min(order).alias("_low"), F.max(order).alias("_high")
     )
-    share = counts.agg(F.sum("_n") / F.lit(max_hot)).scalar()
+    total, most = counts.agg(F.sum("_n"), F.max("_n")).first()
+    if total is None or most <= max(split_rows, total / max_hot):
+        return None
     pieces = F.ceil(F.col("_n") / F.lit(split_rows))
     width = F.ceil((F.col("_high") - F.col("_low") + 1) / pieces)
-    return counts.where(F.col("_n") > F.greatest(F.lit(split_rows).cast("double"), share)).select(
+    return counts.where(F.col("_n") > F.lit(max(split_rows, total / max_hot))).select(
         "_digest", "_low", F.least(width, F.lit(MAX_SPAN * split_rows)).alias("_width")
     )
 
@@ -81,10 +85,11 @@ def semi_join(
     if fits_broadcast(names, broadcast_bytes):
         return rows.join(F.broadcast(names), key, "left_semi")
     hot = hot_keys(rows, key, order, split_rows)
+    if hot is None:
+        return rows.join(names, key, "left_semi").select(*rows.columns)
     is_hot = F.col("_width").isNotNull()
-    salted = with_hot(rows, hot, key).withColumn(
-        "_salt", F.when(is_hot, F.pmod(F.xxhash64(order), F.lit(SALTS)).cast("int")).otherwise(0)
-    )
+    salt = F.pmod(F.xxhash64(order), F.lit(SALTS)).cast("int")
+    salted = with_hot(rows, hot, key).withColumn("_salt", F.when(is_hot, salt).otherwise(0))
     all_salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
     spread = with_hot(names, hot, key).select(
         key, F.explode(F.when(is_hot, all_salts).otherwise(F.array(F.lit(0)))).alias("_salt")
