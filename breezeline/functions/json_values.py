@@ -8,20 +8,35 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def parse_whole(text: Column) -> Column:
-    """VARIANT of a text that is exactly one JSON value, else NULL.
+def with_parsed(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """Adds the VARIANT of a text that is exactly one JSON value, else NULL.
 
     The parser ignores what follows the first value. Wrapping the text in an
     array whose second element is the text's own digest exposes any rest.
     """
-    digest = F.md5(text)
-    pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), digest, F.lit('"]')))
-    alone = F.try_variant_get(pair, "$[1]", "string") == digest
-    return F.when(alone, F.try_variant_get(pair, "$[0]", "variant"))
+    source = F.col(text)
+    wrapped = F.concat(F.lit("["), source, F.lit(',"'), F.md5(source), F.lit('"]'))
+    alone = F.try_variant_get("_pair", "$[1]", "string") == F.md5(source)
+    return (
+        rows.withColumn("_pair", F.try_parse_json(wrapped))
+        .withColumn(name, F.when(alone, F.try_variant_get("_pair", "$[0]", "variant")))
+        .drop("_pair")
+    )
+
+
+def computed_once(rows: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """The kept and the given columns, each value computed a single time.
+
+    A filter on a plain computed column is moved below it by copying the whole
+    expression, so every JSON path in it would parse again. Passing the values
+    through a one-element array stops that.
+    """
+    made = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return rows.select(*keep, F.inline(F.array(made)))
 
 
 def members(value: Column, names: Sequence[str]) -> Column:

@@ -53,7 +53,6 @@ def decode(records: DataFrame) -> DataFrame:
     others take any number, or null as NaN. Further fields are ignored. No
     shuffle.
     """
-    parsed = J.members(J.parse_whole(F.col("value")), READING_COLUMNS)
     field = {name: F.col(f"_message.{name}") for name in READING_COLUMNS}
     typed = {
         "city": F.when(J.is_text(field["city"]), J.text_of(field["city"])),
@@ -65,10 +64,13 @@ def decode(records: DataFrame) -> DataFrame:
     complete = F.lit(True)
     for name in READING_COLUMNS:
         complete = complete & F.col(f"_reading.{name}").isNotNull()
-    return (
-        records.withColumn("_message", parsed)
+    typed_rows = (
+        J.with_parsed(records, "value", "_json")
+        .withColumn("_message", J.members(F.col("_json"), READING_COLUMNS))
         .withColumn("_reading", reading)
-        .select(*records.columns, F.when(complete, F.col("_reading")).alias("reading"))
+    )
+    return J.computed_once(
+        typed_rows, records.columns, reading=F.when(complete, F.col("_reading"))
     )
 
 

@@ -34,7 +34,7 @@ def _decoded(responses: DataFrame) -> DataFrame:
     """Adds the typed parts of each body, one level of nesting at a time."""
     c = F.col
     rows = (
-        responses.withColumn("_body", J.parse_whole(c("body")))
+        J.with_parsed(responses, "body", "_body")
         .withColumn("_envelope", J.members(c("_body"), ["status", "data"]))
         .withColumn("_status", c("_envelope.status"))
         .withColumn("_data", c("_envelope.data"))
@@ -133,15 +133,12 @@ def classify(responses: DataFrame) -> DataFrame:
         double(_geo(1)).alias("latitude"),
         double(_geo(2)).alias("longitude"),
     )
-    return (
-        _decoded(responses)
-        .withColumn("error", error)
-        .select(
-            *responses.columns,
-            "error",
-            F.coalesce(c("error") == UNKNOWN_STATION_ERROR, F.lit(False)).alias("invalidates"),
-            F.when(c("error").isNull(), reading).alias("reading"),
-        )
+    return J.computed_once(
+        _decoded(responses).withColumn("error", error),
+        responses.columns,
+        error=c("error"),
+        invalidates=F.coalesce(c("error") == UNKNOWN_STATION_ERROR, F.lit(False)),
+        reading=F.when(c("error").isNull(), reading),
     )
 
 
