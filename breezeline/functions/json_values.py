@@ -18,13 +18,13 @@ def with_parsed(rows: DataFrame, text: str, name: str) -> DataFrame:
     The parser ignores what follows the first value. Wrapping the text in an
     array whose second element is the text's own digest exposes any rest.
     """
-    source = F.col(text)
-    wrapped = F.concat(F.lit("["), source, F.lit(',"'), F.md5(source), F.lit('"]'))
-    alone = F.try_variant_get("_pair", "$[1]", "string") == F.md5(source)
+    wrapped = F.concat(F.lit("["), F.col(text), F.lit(","), F.col("_digest").cast("string"), F.lit("]"))
+    alone = F.try_variant_get("_pair", "$[1]", "bigint") == F.col("_digest")
     return (
-        rows.withColumn("_pair", F.try_parse_json(wrapped))
+        rows.withColumn("_digest", F.xxhash64(text))
+        .withColumn("_pair", F.try_parse_json(wrapped))
         .withColumn(name, F.when(alone, F.try_variant_get("_pair", "$[0]", "variant")))
-        .drop("_pair")
+        .drop("_pair", "_digest")
     )
 
 
@@ -50,29 +50,32 @@ def elements(value: Column) -> Column:
     return F.try_variant_get(value, "$", "array<variant>")
 
 
-def kind(value: Column) -> Column:
-    """Type name of a VARIANT; NULL when missing, 'VOID' for JSON null."""
-    return F.schema_of_variant(value)
+ABSENT = "VOID"
 
 
-def is_absent(value: Column) -> Column:
-    """Missing or JSON null."""
-    return value.isNull() | F.is_variant_null(value)
+def kind(value: Column) -> Column:
+    """Type name of a VARIANT; ABSENT when it is missing or JSON null."""
+    return F.coalesce(F.schema_of_variant(value), F.lit(ABSENT))
 
 
-def is_text(value: Column) -> Column:
-    return F.coalesce(kind(value) == "STRING", F.lit(False))
+def kind_if_present(value: Column) -> Column:
+    """Type name of a VARIANT; NULL when missing, ABSENT only for JSON null."""
+    return F.schema_of_variant(value)
 
 
-def is_number(value: Column) -> Column:
-    k = kind(value)
-    return F.coalesce(k.isin("BIGINT", "DOUBLE") | k.startswith("DECIMAL"), F.lit(False))
+def is_number(kind: Column) -> Column:
+    return kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL")
 
 
 def text_of(value: Column) -> Column:
     return F.try_variant_get(value, "$", "string")
 
 
+def text_or_empty(value: Column) -> Column:
+    """A text value; empty for anything else (which is then not written out)."""
+    return F.when(kind(value) == "STRING", text_of(value)).otherwise("")
+
+
 def double_of(value: Column) -> Column:
     return F.try_variant_get(value, "$", "double")
 
@@ -85,17 +88,21 @@ def int_of(value: Column) -> Column:
     return F.try_variant_get(value, "$", "int")
 
 
-def accepts_text(value: Column) -> Column:
-    return is_absent(value) | is_text(value)
+def accepts_text(kind: Column) -> Column:
+    return kind.isin("STRING", ABSENT)
+
+
+def accepts_whole(kind: Column) -> Column:
+    """Absent, or an integer literal that fits a long."""
+    return kind.isin("BIGINT", ABSENT)
 
 
-def accepts_double(value: Column) -> Column:
+def accepts_double(kind: Column, value: Column) -> Column:
     """Absent, or a number within the range of a double."""
-    finite = F.coalesce(F.abs(double_of(value)) < F.lit(float("inf")), F.lit(False))
-    return is_absent(value) | (is_number(value) & finite)
+    number = F.left(kind, F.lit(3)).isin("BIG", "DEC", "DOU", ABSENT[:3])
+    return number & F.coalesce(F.abs(double_of(value)) < F.lit(float("inf")), F.lit(True))
 
 
-def accepts_whole(value: Column, extracted: Column) -> Column:
-    """Absent, or an integer literal that fits the extracted type."""
-    whole = F.coalesce(kind(value) == "BIGINT", F.lit(False))
-    return is_absent(value) | (whole & extracted.isNotNull())
+def is_shape(parsed: Column, value: Column) -> Column:
+    """Read as an object or array, or absent."""
+    return parsed.isNotNull() | (kind(value) == ABSENT)

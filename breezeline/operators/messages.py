@@ -28,20 +28,18 @@ def topic_part(key: Column, parts: int = TOPIC_PARTS) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
 
 
-def _whole(value: Column) -> Column:
+def _whole(kind: Column, value: Column) -> Column:
     """An integer, or another number cut toward zero; NULL if that does not fit."""
     number = J.double_of(value)
     fits = F.abs(number) < F.lit(float(2**63))
     cut = F.when(fits, F.when(number < 0, F.ceil(number)).otherwise(F.floor(number)))
-    return F.when(J.kind(value) == "BIGINT", J.long_of(value)).when(
-        J.is_number(value), cut.cast("long")
-    )
+    return F.when(kind == "BIGINT", J.long_of(value)).when(J.is_number(kind), cut.cast("long"))
 
 
-def _double(value: Column) -> Column:
+def _double(kind: Column, value: Column) -> Column:
     """A number, or NaN for JSON null."""
-    return F.when(F.is_variant_null(value), F.lit(float("nan"))).when(
-        J.is_number(value), J.double_of(value)
+    return F.when(kind == J.ABSENT, F.lit(float("nan"))).when(
+        J.is_number(kind), J.double_of(value)
     )
 
 
@@ -54,11 +52,12 @@ def decode(records: DataFrame) -> DataFrame:
     shuffle.
     """
     field = {name: F.col(f"_message.{name}") for name in READING_COLUMNS}
+    kind = {name: F.col(f"_kind_{name}") for name in READING_COLUMNS}
     typed = {
-        "city": F.when(J.is_text(field["city"]), J.text_of(field["city"])),
-        "aqi": wrapped_int(_whole(field["aqi"])),
-        "timestamp": _whole(field["timestamp"]),
-        **{name: _double(field[name]) for name in DOUBLES},
+        "city": F.when(kind["city"] == "STRING", J.text_of(field["city"])),
+        "aqi": wrapped_int(_whole(kind["aqi"], field["aqi"])),
+        "timestamp": _whole(kind["timestamp"], field["timestamp"]),
+        **{name: _double(kind[name], field[name]) for name in DOUBLES},
     }
     reading = F.struct(*[typed[name].alias(name) for name in READING_COLUMNS])
     complete = F.lit(True)
@@ -67,6 +66,7 @@ def decode(records: DataFrame) -> DataFrame:
     typed_rows = (
         J.with_parsed(records, "value", "_json")
         .withColumn("_message", J.members(F.col("_json"), READING_COLUMNS))
+        .withColumns({f"_kind_{n}": J.kind_if_present(c) for n, c in field.items()})
         .withColumn("_reading", reading)
     )
     return J.computed_once(

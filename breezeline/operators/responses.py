@@ -25,57 +25,102 @@ BAD_DATA = "error parsing AQI data"
 POLLUTANTS = ["co", "no2", "pm10", "pm25", "t"]
 
 
-def _object_error(value: str, parsed: str) -> Column:
-    """Present, not null, and yet not of the shape it was read as."""
-    return ~J.is_absent(F.col(value)) & F.col(parsed).isNull()
+def _all(*checks: Column) -> Column:
+    result = checks[0]
+    for check in checks[1:]:
+        result = result & check
+    return result
+
+
+def _texts_ok(*paths: str) -> Column:
+    return F.forall(F.array(*[J.kind(F.col(p)) for p in paths]), J.accepts_text)
+
+
+def _wholes_ok(*paths: str) -> Column:
+    return F.forall(F.array(*[J.kind(F.col(p)) for p in paths]), J.accepts_whole)
+
+
+def _double_ok(value: Column) -> Column:
+    return J.accepts_double(J.kind(value), value)
 
 
 def _decoded(responses: DataFrame) -> DataFrame:
-    """Adds the typed parts of each body, one level of nesting at a time."""
+    """Adds the typed parts of each body and ``_ok``, whether all types fit.
+
+    One projection per level of nesting, each carrying on only what the next
+    one needs: no path is walked twice, and the rows stay narrow enough for
+    generated code.
+    """
     c = F.col
+    kept = responses.columns
     rows = (
         J.with_parsed(responses, "body", "_body")
         .withColumn("_envelope", J.members(c("_body"), ["status", "data"]))
-        .withColumn("_status", c("_envelope.status"))
-        .withColumn("_data", c("_envelope.data"))
-        .withColumn(
-            "_d", J.members(c("_data"), ["aqi", "idx", "city", "dominentpol", "iaqi", "time"])
+        .select(
+            *kept,
+            F.is_variant_null("_body").alias("_null_body"),
+            c("_envelope").isNotNull().alias("_is_object"),
+            J.kind(c("_envelope.status")).alias("_status_kind"),
+            J.text_or_empty(c("_envelope.status")).alias("_status"),
+            J.kind_if_present(c("_envelope.data")).alias("_data_kind"),
+            c("_envelope.data").alias("_data"),
         )
-        .withColumn("_city", J.members(c("_d.city"), ["geo", "name", "url", "location"]))
-        .withColumn("_iaqi", J.members(c("_d.iaqi"), POLLUTANTS))
-        .withColumn("_time", J.members(c("_d.time"), ["s", "tz", "v", "iso"]))
-        .withColumn("_geo", J.elements(c("_city.geo")))
     )
-    for name in POLLUTANTS:
-        rows = rows.withColumn(f"_{name}", J.members(c(f"_iaqi.{name}"), ["v"]))
-    return rows
-
-
-def _data_error() -> Column:
-    """True where ``data`` does not decode to the declared shape."""
-    c = F.col
-    nested = [("_d.city", "_city"), ("_d.iaqi", "_iaqi"), ("_d.time", "_time"), ("_city.geo", "_geo")]
-    nested += [(f"_iaqi.{p}", f"_{p}") for p in POLLUTANTS]
-    texts = ["_d.dominentpol", "_city.name", "_city.url", "_city.location"]
-    texts += ["_time.s", "_time.tz", "_time.iso"]
-    # only the first two elements of the position are read
-    doubles = [_geo(1), _geo(2), *[c(f"_{p}.v") for p in POLLUTANTS]]
-
-    ok = c("_d").isNotNull()
-    for value, parsed in nested:
-        ok = ok & ~_object_error(value, parsed)
-    ok = ok & J.accepts_whole(c("_d.aqi"), J.int_of(c("_d.aqi")))
-    for value in ("_d.idx", "_time.v"):
-        ok = ok & J.accepts_whole(c(value), J.long_of(c(value)))
-    for value in texts:
-        ok = ok & J.accepts_text(c(value))
-    for value in doubles:
-        ok = ok & J.accepts_double(value)
-    return ~ok
-
-
-def _geo(position: int) -> Column:
-    return F.try_element_at(F.col("_geo"), F.lit(position))
+    kept = [*kept, "_null_body", "_is_object", "_status_kind", "_status", "_data_kind"]
+    rows = rows.select(
+        *kept,
+        F.when(c("_data_kind") == "STRING", J.text_of(c("_data"))).otherwise("").alias("_text"),
+        J.members(c("_data"), ["aqi", "idx", "city", "dominentpol", "iaqi", "time"]).alias("_d"),
+    )
+    kept.append("_text")
+    rows = rows.select(
+        *kept,
+        J.int_of(c("_d.aqi")).alias("_aqi"),
+        J.members(c("_d.city"), ["geo", "name", "url", "location"]).alias("_city"),
+        J.members(c("_d.iaqi"), POLLUTANTS).alias("_iaqi"),
+        J.members(c("_d.time"), ["s", "tz", "v", "iso"]).alias("_time"),
+        "_d",
+    )
+    kept.append("_aqi")
+    rows = rows.select(
+        *kept,
+        _all(
+            c("_d").isNotNull(),
+            J.is_shape(c("_city"), c("_d.city")),
+            J.is_shape(c("_iaqi"), c("_d.iaqi")),
+            J.is_shape(c("_time"), c("_d.time")),
+            _wholes_ok("_d.aqi", "_d.idx", "_time.v"),
+            c("_aqi").isNotNull() | (J.kind(c("_d.aqi")) == J.ABSENT),
+            _texts_ok(
+                "_d.dominentpol", "_city.name", "_city.url", "_city.location",
+                "_time.s", "_time.tz", "_time.iso",
+            ),
+        ).alias("_ok"),
+        J.long_of(c("_time.v")).alias("_seconds"),
+        c("_city.geo").alias("_geo_value"),
+        J.elements(c("_city.geo")).alias("_geo"),
+        "_iaqi",
+        *[J.members(c(f"_iaqi.{p}"), ["v"]).alias(f"_{p}") for p in POLLUTANTS],
+    )
+    kept.append("_seconds")
+    rows = rows.select(
+        *kept,
+        _all(
+            c("_ok"),
+            J.is_shape(c("_geo"), c("_geo_value")),
+            *[J.is_shape(c(f"_{p}"), c(f"_iaqi.{p}")) for p in POLLUTANTS],
+        ).alias("_ok"),
+        # only the first two elements of the position are read
+        F.try_element_at("_geo", F.lit(1)).alias("_lat"),
+        F.try_element_at("_geo", F.lit(2)).alias("_lon"),
+        *[c(f"_{p}.v").alias(f"_{p}") for p in POLLUTANTS],
+    )
+    doubles = ["_lat", "_lon", *[f"_{p}" for p in POLLUTANTS]]
+    return rows.select(
+        *kept,
+        _all(c("_ok"), *[_double_ok(c(d)) for d in doubles]).alias("_ok"),
+        *[F.coalesce(J.double_of(c(d)), F.lit(0.0)).alias(d) for d in doubles],
+    )
 
 
 def classify(responses: DataFrame) -> DataFrame:
@@ -87,13 +132,11 @@ def classify(responses: DataFrame) -> DataFrame:
     whatever the response leaves out. No shuffle.
     """
     c = F.col
-    status_ok = J.is_absent(c("_status")) | J.is_text(c("_status"))
-    status = F.coalesce(J.text_of(c("_status")), F.lit(""))
+    status, text = c("_status"), c("_text")
     # JSON null reads as an empty text
-    has_text = F.coalesce(J.kind(c("_data")).isin("STRING", "VOID"), F.lit(False))
-    text = F.coalesce(J.text_of(c("_data")), F.lit(""))
-    envelope_ok = c("_body").isNotNull() & (
-        F.is_variant_null("_body") | (c("_envelope").isNotNull() & status_ok)
+    has_text = F.coalesce(J.accepts_text(c("_data_kind")), F.lit(False))
+    envelope_ok = F.coalesce(
+        c("_null_body") | (c("_is_object") & J.accepts_text(c("_status_kind"))), F.lit(False)
     )
     unknown = (status == "error") & has_text & (text == UNKNOWN_STATION)
     error = (
@@ -115,23 +158,20 @@ def classify(responses: DataFrame) -> DataFrame:
         .when(status == "error", F.lit(NO_MESSAGE))
         .when(status != "ok", F.concat(F.lit(NON_OK), status))
         .when(has_text, F.concat(F.lit(API_ERROR), text))
-        .when(_data_error(), F.lit(BAD_DATA))
+        .when(~c("_ok"), F.lit(BAD_DATA))
     )
 
-    def double(value: Column) -> Column:
-        return F.coalesce(J.double_of(value), F.lit(0.0))
-
     reading = F.struct(
         c("city"),
-        F.coalesce(J.int_of(c("_d.aqi")), F.lit(0)).alias("aqi"),
-        double(c("_co.v")).alias("co"),
-        double(c("_no2.v")).alias("no2"),
-        double(c("_pm10.v")).alias("pm10"),
-        double(c("_pm25.v")).alias("pm25"),
-        double(c("_t.v")).alias("temperature"),
-        F.coalesce(J.long_of(c("_time.v")), F.lit(0).cast("long")).alias("timestamp"),
-        double(_geo(1)).alias("latitude"),
-        double(_geo(2)).alias("longitude"),
+        F.coalesce("_aqi", F.lit(0)).alias("aqi"),
+        c("_co").alias("co"),
+        c("_no2").alias("no2"),
+        c("_pm10").alias("pm10"),
+        c("_pm25").alias("pm25"),
+        c("_t").alias("temperature"),
+        F.coalesce("_seconds", F.lit(0).cast("long")).alias("timestamp"),
+        c("_lat").alias("latitude"),
+        c("_lon").alias("longitude"),
     )
     return J.computed_once(
         _decoded(responses).withColumn("error", error),
