@@ -83,7 +83,7 @@ def semi_join(
     name is repeated for each.
     """
     if fits_broadcast(names, broadcast_bytes):
-        return rows.join(F.broadcast(names), key, "left_semi")
+        return rows.join(F.broadcast(names), key, "left_semi").select(*rows.columns)
     hot = hot_keys(rows, key, order, split_rows)
     if hot is None:
         return rows.join(names, key, "left_semi").select(*rows.columns)
