@@ -17,24 +17,31 @@ def _step(weight: Column, value: Column, acc: Column) -> Column:
     return weight * value + (F.lit(1.0) - weight) * acc
 
 
-def ema_of_columns(newest_first: Sequence[Column], count: Column) -> Column:
+def ema_of_columns(newest_first: Sequence[Column], count: Column, weight: Column) -> Column:
     """EMA of values held in columns; missing (older) ones are NULL.
 
-    Stays inside generated code. ``count`` is how many are present; with none
-    the result is NULL.
+    ``count`` is how many are present and ``weight`` is ``weight_of(count)``;
+    with none the result is NULL. A missing value gets weight 0, which leaves
+    the accumulator exactly as it is. So the fold needs no nested conditions:
+    those would make the search for common subexpressions double with every
+    further value.
     """
-    weight = F.lit(2.0) / (count + F.lit(1))
-    acc = None
-    for value in reversed(newest_first):
-        value = value.cast("double")
-        # NULLs sit only at the old end, so the first non-NULL starts the fold
-        acc = _step(weight, value, value if acc is None else F.coalesce(acc, value))
+    oldest_first = list(reversed(newest_first))
+    acc = F.coalesce(*oldest_first).cast("double") if len(oldest_first) > 1 else oldest_first[0]
+    for age in range(len(newest_first), 0, -1):
+        present = (count >= F.lit(age)).cast("double")
+        value = F.coalesce(newest_first[age - 1], F.lit(0))
+        acc = _step(weight * present, value, acc)
     return acc
 
 
+def weight_of(count: Column) -> Column:
+    return F.lit(2.0) / (count + F.lit(1))
+
+
 def ema_of_array(values: Column) -> Column:
     """EMA of an array of values, oldest first; NULL for an empty array."""
-    weight = F.lit(2.0) / (F.size(values) + F.lit(1))
+    weight = weight_of(F.size(values))
     folded = F.aggregate(
         values,
         F.try_element_at(values, F.lit(1)).cast("double"),

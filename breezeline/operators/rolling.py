@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.ema import ema_of_array, ema_of_columns, last_of_array
+from ..functions.ema import ema_of_array, ema_of_columns, last_of_array, weight_of
 from .skew import SPLIT_ROWS, hot_keys, with_hot
 
 WINDOW_SIZE = 10
 # Up to this size the last values travel as columns inside generated code;
 # beyond it as an array.
-MAX_COLUMNS = 32
+MAX_COLUMNS = 16
 BEFORE_ALL = -1
 
 
@@ -115,17 +115,28 @@ def rolling_ema(
 
 def _by_columns(rows: DataFrame, arrivals, size: int) -> DataFrame:
     before = [F.col(f"_v{k}") for k in range(1, size + 1)]
-    seen = F.col("_seen")
+    seen = F.row_number().over(arrivals)
+    n_before, n_after = F.col("_n_before"), F.col("_n_after")
     return (
         rows.select(
             "*",
             *[F.lag("aqi", k).over(arrivals).alias(f"_v{k}") for k in range(1, size + 1)],
-            F.row_number().over(arrivals).alias("_seen"),
+            seen.alias("_seen"),
         )
-        .withColumn("ema_before", ema_of_columns(before, F.least(seen - 1, F.lit(size))))
-        .withColumn(
-            "ema_after",
-            ema_of_columns([F.col("aqi"), *before[: size - 1]], F.least(seen, F.lit(size))),
+        .withColumns(
+            {
+                "_n_before": F.least(F.col("_seen") - 1, F.lit(size)),
+                "_n_after": F.least("_seen", F.lit(size)),
+            }
+        )
+        .withColumns({"_w_before": weight_of(n_before), "_w_after": weight_of(n_after)})
+        .withColumns(
+            {
+                "ema_before": ema_of_columns(before, n_before, F.col("_w_before")),
+                "ema_after": ema_of_columns(
+                    [F.col("aqi"), *before[: size - 1]], n_after, F.col("_w_after")
+                ),
+            }
         )
     )
 
