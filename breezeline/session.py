@@ -24,6 +24,8 @@ def get_session(app: str = "breezeline", master: str | None = None, **conf) -> S
         "spark.sql.adaptive.enabled": "true",
         # a repeated JSON key keeps its last value
         "spark.sql.variant.allowDuplicateKeys": "true",
+        # column expressions need no record of the Python line they came from
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         # keyed state spills to local disk instead of filling the heap
         "spark.sql.streaming.stateStore.providerClass": (
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
