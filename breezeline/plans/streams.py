@@ -21,7 +21,7 @@ from ..sources import tables, topic
 from ..streaming import monitor, poller
 from . import inputs
 
-SLICES = 3
+SLICES = 2
 
 
 def slices(rows: DataFrame, count: int = SLICES) -> list[DataFrame]:
