@@ -27,12 +27,19 @@ INVALID = T.StructType(
 )
 
 
+def publish_files(events: DataFrame, batch_id: int, root: str) -> None:
+    """Records as files. No shuffle: each task writes where its keys belong."""
+    records = encode(events).withColumn("part", topic_part(F.col("key")))
+    records.write.mode("overwrite").partitionBy("part").parquet(f"{root}/topic/batch_id={batch_id}")
+
+
 def write_polled(
     batch: DataFrame,
     batch_id: int,
     root: str,
     load_registry: Callable[[SparkSession], DataFrame],
     split_rows: int = SPLIT_ROWS,
+    publish: Callable[[DataFrame, int], None] | None = None,
 ) -> None:
     """All results of one micro-batch of responses.
 
@@ -48,11 +55,11 @@ def write_polled(
     polled = R.of_valid_cities(batch, registry, split_rows)
     classified = responses.classify(polled).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        records = encode(responses.events(classified)).withColumn("part", topic_part(F.col("key")))
-        # no shuffle: each task writes its records where their keys belong
-        records.write.mode("overwrite").partitionBy("part").parquet(
-            f"{root}/topic/batch_id={batch_id}"
-        )
+        events = responses.events(classified)
+        if publish is None:
+            publish_files(events, batch_id, root)
+        else:
+            publish(events, batch_id)
         tables.write_batch(responses.rejects(classified), f"{root}/rejects", batch_id)
         report = R.invalidation_report(registry, responses.invalid_cities(classified))
         tables.write_batch(report, f"{root}/invalid", batch_id)
@@ -65,9 +72,14 @@ def run_poller(
     root: str,
     load_registry: Callable[[SparkSession], DataFrame],
     split_rows: int = SPLIT_ROWS,
+    publish: Callable[[DataFrame, int], None] | None = None,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Starts the poller over a stream of ``(seq, city, status_code, body)``."""
+    """Starts the poller over a stream of ``(seq, city, status_code, body)``.
+
+    Readings go to topic files below ``root``, or to ``publish(events, batch_id)``,
+    for instance one that calls ``topic.write_kafka``.
+    """
     tables.create_table(
         landed.sparkSession,
         f"{root}/invalid",
@@ -76,7 +88,7 @@ def run_poller(
     )
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        write_polled(batch, batch_id, root, load_registry, split_rows)
+        write_polled(batch, batch_id, root, load_registry, split_rows, publish)
 
     return (
         landed.writeStream.foreachBatch(write)
