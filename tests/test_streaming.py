@@ -135,3 +135,17 @@ def test_poller_drops_cities_found_unknown(spark, tmp_path):
         "Error parsing AQI JSON",
         "unknown station",
     ]
+
+
+def test_poller_can_publish_elsewhere(spark, tmp_path):
+    landing, seen = str(tmp_path / "landed"), []
+    reg = spark.createDataFrame([(0, "a", None, None, True, None)], REGISTRY)
+    rows = [(0, "a", 200, '{"status":"ok","data":{"aqi":5}}'), (1, "b", 200, "x")]
+    spark.createDataFrame(rows, RESPONSE).write.parquet(landing)
+    poller.run_poller(
+        stream_responses(spark, landing, "parquet"),
+        str(tmp_path / "out"),
+        lambda session: reg,
+        publish=lambda events, batch_id: seen.extend((batch_id, r.seq) for r in events.collect()),
+    ).awaitTermination()
+    assert seen == [(0, 0)]
