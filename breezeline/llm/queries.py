@@ -26,9 +26,32 @@ def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judge, train
+
+    docs = _table(spark, sf_dir, "documents")
+    forest = train(docs, _table(spark, sf_dir, "labels"), "doc_id", "text", "quality")
+    return judge(docs, forest)
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import _spans
+    from .secrets import BASE, find_secrets
+
+    spans = F.col("spans")
+    return find_secrets(_table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        *(_spans.count(spans, kind).alias(f"n_{kind}") for kind in BASE),
+        F.sha2(_spans.text(_spans.base(spans, BASE)), 256).alias("base_sha256"),
+        _spans.text(spans).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_quality": op4_quality,
     "op7_near_copies": op7_near_copies,
     "op8_repeats": op8_repeats,
+    "op9_secrets": op9_secrets,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
