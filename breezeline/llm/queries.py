@@ -26,6 +26,20 @@ def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import _spans
+    from .personal_data import BASE, with_personal_data
+
+    spans = F.col("spans")
+    found = with_personal_data(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "spans")
+    return found.select(
+        "doc_id",
+        *(_spans.count(spans, kind).alias(f"n_{kind}") for kind in BASE),
+        F.sha2(_spans.text(_spans.base(spans, BASE)), 256).alias("base_sha256"),
+        _spans.text(spans).alias("spans"),
+    )
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judge, train
 
@@ -48,6 +62,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_personal_data": op3_personal_data,
     "op4_quality": op4_quality,
     "op7_near_copies": op7_near_copies,
     "op8_repeats": op8_repeats,
