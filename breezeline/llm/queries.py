@@ -12,6 +12,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import decode, default_path, encode
+
+    path = default_path(spark)
+    tokens = encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return decode(tokens, path).select(
+        "doc_id",
+        F.size("tokens").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("tokens").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op7_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_copies import near_copies
 
@@ -64,6 +79,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_personal_data": op3_personal_data,
     "op4_quality": op4_quality,
+    "op6_bpe": op6_bpe,
     "op7_near_copies": op7_near_copies,
     "op8_repeats": op8_repeats,
     "op9_secrets": op9_secrets,
