@@ -54,6 +54,19 @@ def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import main_text
+
+    text = main_text(_table(spark, sf_dir, "pages"))
+    return text.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_vectors import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import _spans
     from .personal_data import BASE, with_personal_data
@@ -97,6 +110,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_main_text": op1_main_text,
+    "op2_near_vectors": op2_near_vectors,
     "op3_personal_data": op3_personal_data,
     "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
