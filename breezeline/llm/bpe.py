@@ -8,7 +8,9 @@ in the same row, so nothing is shuffled. Decoding concatenates binary pieces.
 
 The rank map travels in the pack as two arrays instead of as a literal map,
 which Spark would search entry by entry: the pair (a, b) is at ``shift[a] + b``,
-where an entry of another a means that the pair has no rank.
+where an entry of another a means that the pair has no rank. An entry has its a
+above 16 bits of rank, so that XOR with the a asked for leaves the rank, or more
+than 16 bits.
 """
 
 from __future__ import annotations
@@ -24,12 +26,12 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PACK_BYTES = 4 << 20  # text of a pack; a longer text is a pack of its own
+PACK_BYTES = 12 << 20  # text of a pack; a longer text is a pack of its own
 LONG = 256  # bytes; longer words are merged with a heap, as a fold over them would be quadratic
 
 PACK = (
     "ids array<long>, sizes array<int>, places binary, known array<int>, longs array<array<int>>,"
-    " words array<array<int>>, shift array<int>, pairs array<int>"
+    " words array<array<int>>, shift array<int>, pairs array<long>"
 )
 
 
@@ -79,7 +81,9 @@ def pair_table(path: str) -> tuple[np.ndarray, np.ndarray]:
         used[at + b] = True
         pairs[at + b] = (a << 16) | rank
     last = int(np.flatnonzero(used)[-1]) + size + 1 if used.any() else size
-    return shift, pairs[:last].view(np.int32)
+    table = pairs[:last].astype(np.int64)
+    table[~used[:last]] = 1 << 40
+    return shift, table
 
 
 def heap_merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -130,27 +134,32 @@ def _packer(path, pattern, table):
     split, value = regex.compile(pattern).findall, table
 
     def pack(ids, rows, words, ranks):
-        byte = [ranks[bytes([b])] for b in range(256)]
-        known, short, longs = [], [], []
-        for word in words:
+        byte = bytes(ranks[bytes([b])] for b in range(256))  # a single byte's rank is below 256
+        known, short, longs = np.full(len(words), -1, np.int32), [], []
+        for i, word in enumerate(words):
             raw = word.encode()
             one = ranks.get(raw)
             if one is not None:
-                known.append(one)
+                known[i] = one
             elif len(raw) > LONG:
-                known.append(-2)
+                known[i] = -2
                 longs.append(heap_merged(raw, ranks))
             else:
-                known.append(-1)
-                short.append([byte[b] for b in raw])
+                short.append(raw)
         shift, pairs = value.value
-        ints = pa.list_(pa.list_(pa.int32()))
-        places = np.fromiter(chain.from_iterable(rows), np.uint32)
+        sizes = np.array([len(r) for r in rows], np.int32)
+        letters = np.frombuffer(b"".join(short).translate(byte), np.uint8).astype(np.int32)
+        ends = np.concatenate([[0], np.cumsum([len(w) for w in short])]).astype(np.int32)
+        places = np.concatenate(rows) if rows else np.zeros(0, np.uint32)
+
+        def one_row(values):
+            return pa.ListArray.from_arrays([0, len(values)], values)
+
         values = [
-            pa.array([ids], pa.list_(pa.int64())), pa.array([[len(r) for r in rows]], pa.list_(pa.int32())),
-            pa.array([places.tobytes()], pa.binary()), pa.array([known], pa.list_(pa.int32())),
-            pa.array([longs], ints), pa.array([short], ints),
-            pa.ListArray.from_arrays([0, len(shift)], pa.array(shift)), pa.ListArray.from_arrays([0, len(pairs)], pa.array(pairs)),
+            pa.array([ids], pa.list_(pa.int64())), one_row(pa.array(sizes)), pa.array([places.tobytes()], pa.binary()),
+            one_row(pa.array(known)), pa.array([longs], pa.list_(pa.list_(pa.int32()))),
+            one_row(pa.ListArray.from_arrays(pa.array(ends), pa.array(letters))),
+            one_row(pa.array(shift)), one_row(pa.array(pairs)),
         ]
         return pa.RecordBatch.from_arrays(values, names=[x.split()[0] for x in PACK.split(", ")])
 
@@ -182,7 +191,28 @@ def _packer(path, pattern, table):
     return run
 
 
-def _unpack(batches):
+def _unpacker(path, decoded):
+    def run(batches):
+        pieces = {rank: token for token, rank in read_ranks(path).items()} if decoded else None
+        for batch in _unpacked(batches):
+            if decoded:
+                batch = pa.RecordBatch.from_arrays(
+                    [*batch.columns, _joined(batch.column(1), pieces)], names=["id", "tokens", "decoded"]
+                )
+            yield batch
+
+    return run
+
+
+def _joined(lists: pa.ListArray, pieces: dict[int, bytes]) -> pa.Array:
+    """For each list of tokens, their pieces in one binary; a null list gives none."""
+    flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    valid = lists.is_valid().to_numpy(zero_copy_only=False)
+    rows = (flat[ends[i] : ends[i + 1]].tolist() if valid[i] else () for i in range(len(lists)))
+    return pa.array([b"".join(map(pieces.__getitem__, row)) for row in rows], pa.binary())
+
+
+def _unpacked(batches):
     for batch in batches:
         for i in range(batch.num_rows):
             row = batch.slice(i, 1)
@@ -219,46 +249,45 @@ def _unpack(batches):
 def _folded(word: Column, shift: Column, pairs: Column) -> Column:
     """The tokens that the word's byte tokens merge into."""
 
-    def ranks(tokens):
-        def rank(a, b):
-            entry = F.get(pairs, F.get(shift, a) + b)
-            return F.when(F.shiftrightunsigned(entry, 16) == a, entry.bitwiseAND(F.lit(0xFFFF)))
-
-        return F.zip_with(tokens, F.slice(tokens, F.lit(2), F.size(tokens)), rank)
+    def rank(a, b):
+        return F.get(pairs, F.get(shift, a) + b).bitwiseXOR(F.shiftleft(a.cast("long"), 16))
 
     def state(tokens):
-        return F.struct(tokens.alias("tokens"), ranks(tokens).alias("ranks"))
+        ranks = F.zip_with(tokens, F.slice(tokens, F.lit(2), F.size(tokens)), rank)
+        return F.struct(tokens.alias("tokens"), ranks.alias("ranks"))
 
     def merge(old, _):
         def at(best):
             place = F.array_position(old["ranks"], best).cast("int")
             head = F.slice(old["tokens"], F.lit(1), place - 1)
             tail = F.slice(old["tokens"], place + 2, F.size(old["tokens"]))
-            return F.transform(F.array(F.concat(head, F.array(best), tail)), state)[0]
+            merged = F.transform(F.array(F.concat(head, F.array(best.cast("int")), tail)), state)[0]
+            return F.when(best < 0x10000, merged).otherwise(old)
 
-        best = F.array_min(old["ranks"])
-        return F.when(best.isNull(), old).otherwise(F.transform(F.array(best), at)[0])
+        return F.transform(F.array(F.array_min(old["ranks"])), at)[0]
 
     steps = F.slice(word, F.lit(2), F.size(word))  # as many as there can be merges
     return F.aggregate(steps, state(word), merge, lambda end: end["tokens"])
 
 
 def encode(
-    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False
 ) -> DataFrame:
     """(id, tokens) for every row of ``docs``: the ids that the rank file's encoding gives the text.
 
     ``path`` is read on the driver and by every worker. Each match of
     ``pattern`` is encoded by itself, without special tokens. Null and empty
     texts have no tokens. Rows may repeat and ids may be null; other columns
-    are ignored; an empty table gives an empty result.
+    are ignored; an empty table gives an empty result. With ``decoded``, the
+    column decoded has the bytes that ``decode`` would make of the tokens.
     """
     table = docs.sparkSession.sparkContext.broadcast(pair_table(path))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     packs = texts.mapInArrow(_packer(path, pattern, table), PACK)
     merged = F.transform("words", lambda word: _folded(word, F.col("shift"), F.col("pairs")))
     packs = packs.select("ids", "sizes", "places", "known", "longs", merged.alias("words"))
-    return packs.mapInArrow(_unpack, "id long, tokens array<int>").withColumnRenamed("id", id_col)
+    kind = "id long, tokens array<int>" + ", decoded binary" * decoded
+    return packs.mapInArrow(_unpacker(path, decoded), kind).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, path: str, tokens_col: str = "tokens", into: str = "decoded") -> DataFrame:
@@ -270,25 +299,12 @@ def decode(encoded: DataFrame, path: str, tokens_col: str = "tokens", into: str
     def run(batches):
         pieces = {rank: token for token, rank in read_ranks(path).items()}
         for batch in batches:
-            lists = batch.column(place)
-            made = [b"".join(map(pieces.__getitem__, row.values.tolist() if row.is_valid else ())) for row in _rows(lists)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], names=[*columns, into])
+            made = _joined(batch.column(place), pieces)
+            yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*columns, into])
 
     return encoded.select(*columns).mapInArrow(run, schema)
 
 
-class _Row:
-    def __init__(self, values, is_valid):
-        self.values, self.is_valid = values, is_valid
-
-
-def _rows(lists: pa.ListArray):
-    flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-    valid = lists.is_valid().to_numpy(zero_copy_only=False)
-    for i in range(len(lists)):
-        yield _Row(flat[ends[i] : ends[i + 1]], valid[i])
-
-
 def default_path(spark: SparkSession) -> str:
     """The rank file named by ``breezeline.bpe.ranks``, else that of the installed vocabularies."""
     import public_tokenizers

@@ -28,11 +28,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from .bpe import decode, default_path, encode
+    from .bpe import default_path, encode
 
     path = default_path(spark)
-    tokens = encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
-    return decode(tokens, path).select(
+    tokens = encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, decoded=True)
+    return tokens.select(
         "doc_id",
         F.size("tokens").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("tokens").cast("array<string>")), 256).alias("ids_sha256"),

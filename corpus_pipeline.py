@@ -51,7 +51,7 @@ def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = bpe.default_path(spark)
-    coded = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+    coded = bpe.encode(docs, path, public_tokenizers.PATTERN, decoded=True)
     return coded.select(
         "doc_id", F.size("tokens").cast("long").alias("n_tokens"), "tokens", F.sha2("decoded", 256).alias("decoded_sha256")
     )
