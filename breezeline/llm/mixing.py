@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 BLOCK = 1 << 16  # characters
 PERIOD = 1000  # slots; the schedule's resolution of weights
 POWER = 0.7  # default weights are proportional to a source's length to this power
-CHUNK_ROWS = 4096
+CHUNK_ROWS = 512
 MAX_SOURCES = 10_000
 
 _STATE = "struct<next:array<long>,plan:array<struct<slot:long,place:int,block:long>>>"
