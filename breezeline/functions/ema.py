@@ -1,4 +1,4 @@
-"""The truncated moving average, in two forms that agree bit for bit.
+"""The truncated moving average, in two forms that agree bit for bit on values that are not NULL.
 
 Over the last n values, oldest first, the weight is 2 / (n + 1); the
 accumulator starts at the oldest value and then folds every value, the oldest

@@ -29,3 +29,8 @@ def percent_increase(value: Column, base: Column) -> Column:
 def wrapped_int(value: Column) -> Column:
     """The low 32 bits of a long, as a signed int."""
     return F.shiftright(F.shiftleft(value, 32), 32).cast("int")
+
+
+def json_number(value: Column) -> Column:
+    """The number, or NULL for NaN, which JSON cannot write as a number."""
+    return F.when(~F.isnan(value), value)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.numbers import json_number
 from ..functions.times import (
     seconds_to_date,
     seconds_to_timestamp,
@@ -132,9 +133,13 @@ def latest_history(history: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
 
 
 def history_replies(history: DataFrame) -> DataFrame:
-    """Adds ``reply``: the row as JSON, its timestamp in epoch milliseconds."""
+    """Adds ``reply``: the row as JSON, its timestamp in epoch milliseconds.
+
+    Unset fields and those that are NaN are left out of the JSON.
+    """
+    real = {c for c, kind in history.dtypes if kind == "double"}
     body = F.struct(
-        *[F.col(c) for c in HISTORY_COLUMNS[:-1]],
+        *[json_number(F.col(c)).alias(c) if c in real else F.col(c) for c in HISTORY_COLUMNS[:-1]],
         timestamp_to_millis(F.col("timestamp")).alias("timestamp"),
     )
     return history.withColumn("reply", F.to_json(body))

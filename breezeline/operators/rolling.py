@@ -60,7 +60,7 @@ def _split(
     readings: DataFrame, carried: DataFrame | None, hot: DataFrame, size: int
 ) -> tuple[DataFrame, list[DataFrame]]:
     """Readings with their chunk, and the earlier values each chunk needs."""
-    narrow = readings.select("city", "seq", "aqi")
+    narrow = readings.select("city", "seq", "aqi").where("aqi is not null")
     tails = _chunked(with_hot(narrow, hot, "city", "inner"))
     earlier = []
     if carried is not None:
@@ -82,7 +82,8 @@ def rolling_ema(
 
     ``ema_before`` covers the up to ``size`` values before the reading (NULL
     for a city's first), ``ema_after`` those up to and including it. Order is
-    arrival order, ``seq``; no timestamp is looked at.
+    arrival order, ``seq``; no timestamp is looked at. A reading whose ``aqi`` is
+    NULL has NULL averages and takes no part in those of others.
 
     ``carried`` holds ``(city, seq, aqi)`` of values that came before all of
     ``readings``; they feed the averages but do not come out.
@@ -96,7 +97,7 @@ def rolling_ema(
     columns = readings.columns
     hot = hot_keys(readings, "city", "seq", split_rows)
     if carried is not None:
-        carried = carried.select("city", F.col("seq").cast("long"), "aqi")
+        carried = carried.select("city", F.col("seq").cast("long"), "aqi").where("aqi is not null")
     if hot is None:
         group, rows = ["city"], readings
         earlier = [] if carried is None else [carried]
@@ -108,9 +109,11 @@ def rolling_ema(
     rows = rows.withColumn("_live", F.lit(True))
     for part in earlier:
         rows = rows.unionByName(part.withColumn("_live", F.lit(False)), allowMissingColumns=True)
-    arrivals = W.partitionBy(*group).orderBy("_live", "seq")
+    rows = rows.withColumn("_void", F.col("aqi").isNull())
+    arrivals = W.partitionBy(*group, "_void").orderBy("_live", "seq")
     averaged = (_by_columns if size <= MAX_COLUMNS else _by_array)(rows, arrivals, size)
-    return averaged.where("_live").select(*columns, "ema_before", "ema_after")
+    averages = [F.when(~F.col("_void"), F.col(c)).alias(c) for c in ("ema_before", "ema_after")]
+    return averaged.where("_live").select(*columns, *averages)
 
 
 def _by_columns(rows: DataFrame, arrivals, size: int) -> DataFrame:

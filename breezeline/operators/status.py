@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ema import ema_of_array
 from ..functions.messages import unknown_city_text
+from ..functions.numbers import json_number
 from ..schemas import STATUS
 from .rolling import WINDOW_SIZE, check_window
 
@@ -90,9 +91,10 @@ def unknown_cities(requested: DataFrame, known: DataFrame) -> DataFrame:
 def status_replies(requested: DataFrame, status: DataFrame) -> DataFrame:
     """``(city, found, reply)``: status JSON per requested city, or an error JSON.
 
-    Unset fields are left out of the JSON.
+    Unset fields and those that are NaN are left out of the JSON.
     """
-    body = F.struct(*[F.col(c) for c in STATUS_COLUMNS])
+    real = {c for c, kind in status.dtypes if kind == "double"}
+    body = F.struct(*[json_number(F.col(c)).alias(c) if c in real else F.col(c) for c in STATUS_COLUMNS])
     found = F.col("currentAqi").isNotNull()
     error = F.struct(unknown_city_text(F.col("city")).alias("error"))
     return (

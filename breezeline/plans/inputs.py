@@ -87,7 +87,7 @@ def seed(spark: SparkSession, sf_dir: str) -> DataFrame:
 # whole value and {e} its time in epoch seconds. None stands for no body.
 BODIES = [
     '{"status":"error","data":"Unknown station"}',
-    '{"status":"error","data":"Rate limit exceeded"}',
+    '{"status":"error","data":"Too many calls"}',
     '{"status":"error"}',
     '{"status":"error","data":null}',
     '{"status":"nug","data":"x"}',

@@ -18,26 +18,26 @@ def kinds(spark, values, **kw):
 
 
 def test_normal_reading(spark):
-    assert outcomes(spark, "testCity", [50]) == [
-        (0, "NORMAL", "[testCity] AQI: 50 (EMA: N/A, T: 18.0°C)")
+    assert outcomes(spark, "oslo", [50]) == [
+        (0, "NORMAL", "[oslo] AQI: 50 (EMA: N/A, T: 21.0°C)")
     ]
 
 
 def test_unhealthy_reading(spark):
-    assert outcomes(spark, "alertCity", [160]) == [
+    assert outcomes(spark, "lima", [160]) == [
         (
             0,
             "UNHEALTHY",
-            "[alertCity] ALERT 1: Unhealthy AQI! Value: 160 (threshold: 150) | PM2.5: 30.0, PM10: 20.0",
+            "[lima] ALERT 1: Unhealthy AQI! Value: 160 (threshold: 150) | PM2.5: 13.0, PM10: 11.0",
         )
     ]
 
 
 def test_spike(spark):
-    assert outcomes(spark, "spikeCity", [50, 100])[1] == (
+    assert outcomes(spark, "quito", [50, 100])[1] == (
         1,
         "SPIKE",
-        "[spikeCity] ALERT 2: Sudden spike! Current: 100 vs EMA: 50 (+100%, threshold: 65)",
+        "[quito] ALERT 2: Sudden spike! Current: 100 vs EMA: 50 (+100%, threshold: 65)",
     )
 
 
@@ -138,3 +138,14 @@ def test_nothing_in_nothing_out(spark):
 def test_window_size_is_checked(spark):
     with pytest.raises(ValueError):
         scoring.score(readings(spark, []), size=0)
+
+
+@pytest.mark.parametrize("size", [16, 17, 1001])
+@pytest.mark.parametrize("split_rows", [1_000_000, 2])
+def test_missing_values_take_no_part(spark, size, split_rows):
+    values = [100, None, 50, None, None, 80]
+    got = rolling_ema(sequence(spark, "c", values), size, split_rows=split_rows).orderBy("seq").collect()
+    plain = rolling_ema(sequence(spark, "c", [100, 50, 80]), size).orderBy("seq").collect()
+    kept = [(r.ema_before, r.ema_after) for r in got if r.aqi is not None]
+    assert kept == [(r.ema_before, r.ema_after) for r in plain]
+    assert all(r.ema_before is None and r.ema_after is None for r in got if r.aqi is None)

@@ -10,8 +10,8 @@ def test_status_includes_the_last_reading(spark):
     got = status.city_status(rows).collect()
     assert len(got) == 1
     assert got[0].asDict() == dict(
-        city="a", currentAqi=100, ema=fold([50, 100]), co=2.5, no2=5.0, pm10=20.0, pm25=30.0,
-        temperature=18.0, timestamp=9,
+        city="a", currentAqi=100, ema=fold([50, 100]), co=2.5, no2=7.0, pm10=11.0, pm25=13.0,
+        temperature=21.0, timestamp=9,
     )
 
 
@@ -38,7 +38,7 @@ def test_replies(spark):
     got = {r.city: (r.found, json.loads(r.reply)) for r in status.status_replies(requested, current).collect()}
     assert got["b"] == (False, {"error": "City 'b' not found or no data yet"})
     assert got["a"][0] and list(got["a"][1]) == status.STATUS_COLUMNS
-    assert got["a"][1]["timestamp"] == 1234567890
+    assert got["a"][1]["timestamp"] == 1600000000
 
 
 def test_known_and_unknown(spark):
