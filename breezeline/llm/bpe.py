@@ -11,6 +11,10 @@ which Spark would search entry by entry: the pair (a, b) is at ``shift[a] + b``,
 where an entry of another a means that the pair has no rank. An entry has its a
 above 16 bits of rank, so that XOR with the a asked for leaves the rank, or more
 than 16 bits.
+
+The words that most packs share are folded once, ahead of the packs, and handed
+to the packs as a cache of at most ``COMMON`` words. Which words are in it
+changes the time only: a pack folds every word that the cache does not hold.
 """
 
 from __future__ import annotations
@@ -26,7 +30,9 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PACK_BYTES = 12 << 20  # text of a pack; a longer text is a pack of its own
+PACK_BYTES = 24 << 20  # text of a pack; a longer text is a pack of its own
+COMMON = 200_000  # words of the cache
+COMMON_DOCS = 20_000  # documents, as many as are expected, that the cache's words are counted in
 LONG = 256  # bytes; longer words are merged with a heap, as a fold over them would be quadratic
 
 PACK = (
@@ -129,12 +135,74 @@ class _Numbers(dict):
         words = self.words
         return [words.setdefault(w, len(words)) for w in self.split(text)]
 
+    def of_text(self, text):
+        first, *rest = text.split(" ")
+        found = [self[c] for c in rest]
+        if rest and (None in found or not first or first[-1].isspace()):
+            return self.numbers(text)
+        return self.numbers(first) + list(chain.from_iterable(found))
+
+
+def _byte_tokens(words: list[bytes], ranks: dict[bytes, int]) -> pa.ListArray:
+    """The ranks of each word's single bytes."""
+    byte = bytes(ranks[bytes([b])] for b in range(256))  # a single byte's rank is below 256
+    letters = np.frombuffer(b"".join(words).translate(byte), np.uint8).astype(np.int32)
+    ends = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(letters))
+
+
+def _one_row(values) -> pa.ListArray:
+    return pa.ListArray.from_arrays([0, len(values)], values)
+
+
+def _common_words(texts: DataFrame, path: str, pattern: str, table) -> dict[str, list[int]]:
+    """word: tokens, of at most ``COMMON`` words that several parts of a sample of the texts share.
+
+    The sample and so the cache have a fixed expected size, whatever the table's.
+    """
+    split = regex.compile(pattern).findall
+    rows = texts.count()
+    if not rows:
+        return {}
+
+    def seen(batches):
+        ranks, words = read_ranks(path), {}
+        chunks = _Numbers(words, split)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                for text in batch.slice(i, 256).column(0).to_pylist():
+                    chunks.of_text(text or "")
+        found = [w for w in words if len(raw := w.encode()) <= LONG and raw not in ranks]
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["word"])
+
+    def pack(batches):
+        words = [w for batch in batches for w in batch.column(0).to_pylist()]
+        if words:
+            shift, pairs = table.value
+            letters = _byte_tokens([w.encode() for w in words], read_ranks(path))
+            values = [_one_row(pa.array(words, pa.string())), _one_row(letters), *map(_one_row, map(pa.array, (shift, pairs)))]
+            yield pa.RecordBatch.from_arrays(values, names=["names", "words", "shift", "pairs"])
+
+    sample = texts.select("text").sample(fraction=min(1.0, COMMON_DOCS / rows), seed=1)
+    counts = sample.mapInArrow(seen, "word string").groupBy("word").agg(F.count("*").alias("parts"))
+    most = counts.where("parts > 1").orderBy(F.desc("parts"), "word").limit(COMMON).select("word")
+    packs = most.repartition(16).mapInArrow(
+        pack, "names array<string>, words array<array<int>>, shift array<int>, pairs array<long>"
+    )
+    merged = F.transform("words", lambda word: _folded(word, F.col("shift"), F.col("pairs")))
+    found = packs.select("names", merged.alias("words")).toArrow()
+    return {
+        word: tokens
+        for names, words in zip(*(found.column(c).to_pylist() for c in (0, 1)))
+        for word, tokens in zip(names, words)
+    }
 
-def _packer(path, pattern, table):
-    split, value = regex.compile(pattern).findall, table
+
+def _packer(path, pattern, table, cache):
+    split = regex.compile(pattern).findall
 
     def pack(ids, rows, words, ranks):
-        byte = bytes(ranks[bytes([b])] for b in range(256))  # a single byte's rank is below 256
+        common = cache.value
         known, short, longs = np.full(len(words), -1, np.int32), [], []
         for i, word in enumerate(words):
             raw = word.encode()
@@ -144,22 +212,18 @@ def _packer(path, pattern, table):
             elif len(raw) > LONG:
                 known[i] = -2
                 longs.append(heap_merged(raw, ranks))
+            elif word in common:
+                known[i] = -2
+                longs.append(common[word])
             else:
                 short.append(raw)
-        shift, pairs = value.value
+        shift, pairs = table.value
         sizes = np.array([len(r) for r in rows], np.int32)
-        letters = np.frombuffer(b"".join(short).translate(byte), np.uint8).astype(np.int32)
-        ends = np.concatenate([[0], np.cumsum([len(w) for w in short])]).astype(np.int32)
         places = np.concatenate(rows) if rows else np.zeros(0, np.uint32)
-
-        def one_row(values):
-            return pa.ListArray.from_arrays([0, len(values)], values)
-
         values = [
-            pa.array([ids], pa.list_(pa.int64())), one_row(pa.array(sizes)), pa.array([places.tobytes()], pa.binary()),
-            one_row(pa.array(known)), pa.array([longs], pa.list_(pa.list_(pa.int32()))),
-            one_row(pa.ListArray.from_arrays(pa.array(ends), pa.array(letters))),
-            one_row(pa.array(shift)), one_row(pa.array(pairs)),
+            pa.array([ids], pa.list_(pa.int64())), _one_row(pa.array(sizes)), pa.array([places.tobytes()], pa.binary()),
+            _one_row(pa.array(known)), pa.array([longs], pa.list_(pa.list_(pa.int32()))),
+            _one_row(_byte_tokens(short, ranks)), _one_row(pa.array(shift)), _one_row(pa.array(pairs)),
         ]
         return pa.RecordBatch.from_arrays(values, names=[x.split()[0] for x in PACK.split(", ")])
 
@@ -172,14 +236,8 @@ def _packer(path, pattern, table):
                 part = batch.slice(i, 256)
                 for row, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     text = text or ""
-                    first, *rest = text.split(" ")
-                    found = [chunks[c] for c in rest]
-                    if rest and (None in found or not first or first[-1].isspace()):
-                        numbers = chunks.numbers(text)
-                    else:
-                        numbers = chunks.numbers(first) + list(chain.from_iterable(found))
                     ids.append(row)
-                    rows.append(np.array(numbers, np.uint32))
+                    rows.append(np.array(chunks.of_text(text), np.uint32))
                     size += len(text)
                     if size >= PACK_BYTES:
                         yield pack(ids, rows, words, ranks)
@@ -275,15 +333,18 @@ def encode(
 ) -> DataFrame:
     """(id, tokens) for every row of ``docs``: the ids that the rank file's encoding gives the text.
 
-    ``path`` is read on the driver and by every worker. Each match of
+    ``path`` is read on the driver and by every worker. ``docs`` is counted and
+    sampled before (``COMMON_DOCS``), for the cache of common words. Each match of
     ``pattern`` is encoded by itself, without special tokens. Null and empty
     texts have no tokens. Rows may repeat and ids may be null; other columns
     are ignored; an empty table gives an empty result. With ``decoded``, the
     column decoded has the bytes that ``decode`` would make of the tokens.
     """
-    table = docs.sparkSession.sparkContext.broadcast(pair_table(path))
+    share = docs.sparkSession.sparkContext.broadcast
+    table = share(pair_table(path))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    packs = texts.mapInArrow(_packer(path, pattern, table), PACK)
+    cache = share(_common_words(texts, path, pattern, table))
+    packs = texts.mapInArrow(_packer(path, pattern, table, cache), PACK)
     merged = F.transform("words", lambda word: _folded(word, F.col("shift"), F.col("pairs")))
     packs = packs.select("ids", "sizes", "places", "known", "longs", merged.alias("words"))
     kind = "id long, tokens array<int>" + ", decoded binary" * decoded
