@@ -25,11 +25,11 @@ def _chunked(rows: DataFrame) -> DataFrame:
     """Adds ``_chunk``: 0 for an ordinary city, a span of arrivals for a hot one."""
     span = F.expr("(seq - _low) div _width")
     chunk = F.when(F.col("_width").isNull(), F.lit(0)).otherwise(span)
-    return rows.withColumn("_chunk", chunk.cast("long")).drop("_low", "_width")
+    return rows.withColumn("_chunk", chunk.cast("long")).drop("_low", "_width", "_pieces")
 
 
 def _in_chunk(rows: DataFrame, chunk: int) -> DataFrame:
-    return rows.drop("_low", "_width").withColumn("_chunk", F.lit(chunk).cast("long"))
+    return rows.drop("_low", "_width", "_pieces").withColumn("_chunk", F.lit(chunk).cast("long"))
 
 
 def _lead_in(tails: DataFrame, size: int) -> DataFrame:

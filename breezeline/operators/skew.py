@@ -19,7 +19,6 @@ MAX_HOT_KEYS = 50_000
 # A chunk never spans more arrival numbers than this many times SPLIT_ROWS,
 # which bounds its rows even if a key's arrivals are very uneven.
 MAX_SPAN = 64
-SALTS = 32
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
@@ -34,12 +33,12 @@ def hot_keys(
     split_rows: int = SPLIT_ROWS,
     max_hot: int = MAX_HOT_KEYS,
 ) -> DataFrame | None:
-    """``(_digest, _low, _width)`` of the keys that hold too many rows.
+    """``(_digest, _low, _width, _pieces)`` of the keys that hold too many rows.
 
     None if there are none, so the usual plan stays plain. That is found out
     here, by one job that reads two columns, combines map side and brings two
     numbers back. ``_width`` is the span of arrival numbers that holds about
-    ``split_rows`` of the key's rows.
+    ``split_rows`` of the key's rows, ``_pieces`` how many such spans it has.
     """
     counts = rows.groupBy(key_digest(key).alias("_digest")).agg(
         F.count(F.lit(1)).alias("_n"), F.min(order).alias("_low"), F.max(order).alias("_high")
@@ -50,12 +49,15 @@ def hot_keys(
     pieces = F.ceil(F.col("_n") / F.lit(split_rows))
     width = F.ceil((F.col("_high") - F.col("_low") + 1) / pieces)
     return counts.where(F.col("_n") > F.lit(max(split_rows, total / max_hot))).select(
-        "_digest", "_low", F.least(width, F.lit(MAX_SPAN * split_rows)).alias("_width")
+        "_digest",
+        "_low",
+        F.least(width, F.lit(MAX_SPAN * split_rows)).alias("_width"),
+        pieces.cast("long").alias("_pieces"),
     )
 
 
 def with_hot(rows: DataFrame, hot: DataFrame, key: str, how: str = "left") -> DataFrame:
-    """Adds ``_low`` and ``_width``, NULL for keys that are not hot."""
+    """Adds ``_low``, ``_width`` and ``_pieces``, NULL for keys that are not hot."""
     listed = F.broadcast(hot)
     return rows.join(listed, key_digest(key) == listed["_digest"], how).drop("_digest")
 
@@ -79,19 +81,17 @@ def semi_join(
     """Rows whose key is among ``names`` (one column, named like the key).
 
     The names are broadcast only if they measure small. Otherwise both sides
-    shuffle on the key, where a hot key is spread over SALTS tasks and its one
-    name is repeated for each.
+    shuffle on the key, where a hot key is spread over as many salts as it has
+    ``split_rows`` rows and its one name is repeated for each.
     """
     if fits_broadcast(names, broadcast_bytes):
         return rows.join(F.broadcast(names), key, "left_semi").select(*rows.columns)
     hot = hot_keys(rows, key, order, split_rows)
     if hot is None:
         return rows.join(names, key, "left_semi").select(*rows.columns)
-    is_hot = F.col("_width").isNotNull()
-    salt = F.pmod(F.xxhash64(order), F.lit(SALTS)).cast("int")
-    salted = with_hot(rows, hot, key).withColumn("_salt", F.when(is_hot, salt).otherwise(0))
-    all_salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    pieces = F.coalesce("_pieces", F.lit(1).cast("long"))
+    salted = with_hot(rows, hot, key).withColumn("_salt", F.pmod(F.xxhash64(order), pieces))
     spread = with_hot(names, hot, key).select(
-        key, F.explode(F.when(is_hot, all_salts).otherwise(F.array(F.lit(0)))).alias("_salt")
+        key, F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)).alias("_salt")
     )
     return salted.join(spread, [key, "_salt"], "left_semi").select(*rows.columns)

@@ -5,7 +5,7 @@ Each micro-batch owns the ``batch_id=<n>`` part of a table and overwrites it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +13,8 @@ from ..functions.times import seconds_to_date
 from ..operators.history import new_history, storable
 from ..schemas import HISTORY
 
+LISTED_DAYS = 1000  # distinct days of a batch that are named in the plan; more are joined
+
 BATCH = T.StructField("batch_id", T.LongType())
 HISTORY_TABLE = T.StructType([*HISTORY.fields, T.StructField("date", T.DateType()), BATCH])
 
@@ -51,11 +53,16 @@ def append_history(readings: DataFrame, path: str, batch_id: int) -> None:
     place. One writer at a time.
     """
     spark = readings.sparkSession
-    first, last = storable(readings).agg(F.min("timestamp"), F.max("timestamp")).first()
-    if first is None:
+    days = storable(readings).select(seconds_to_date(F.col("timestamp")).alias("date"))
+    days = days.where("date is not null").distinct()
+    few = days.select(F.unix_date("date")).limit(LISTED_DAYS + 1).collect()
+    if not few:
         return
-    days = F.col("date").between(_day(first), _day(last))
-    earlier = read_history(spark, path).where(days & (F.col("batch_id") < batch_id))
+    earlier = read_history(spark, path).where(F.col("batch_id") < batch_id)
+    if len(few) <= LISTED_DAYS:  # literals, so that other days' files are not opened
+        earlier = earlier.where(F.col("date").isin(*(F.date_from_unix_date(F.lit(n)) for (n,) in few)))
+    else:
+        earlier = earlier.join(days, "date", "left_semi")
     (
         new_history(readings, earlier)
         .withColumn("batch_id", F.lit(batch_id).cast("long"))
@@ -68,5 +75,7 @@ def append_history(readings: DataFrame, path: str, batch_id: int) -> None:
     )
 
 
-def _day(seconds: int) -> Column:
-    return seconds_to_date(F.lit(seconds).cast("long"))
+def is_written(spark: SparkSession, path: str) -> bool:
+    """Whether a write to this folder has ended well."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)

@@ -15,9 +15,12 @@ OFFSET_BITS = 44
 def arrival_number(partition: Column, offset: Column) -> Column:
     """One number that orders the records of a partition.
 
-    A city is always in one partition, so it orders a city's records.
+    A city is always in one partition, so it orders a city's records. An offset
+    that would run into the partition's bits is an error.
     """
-    return F.shiftleft(partition.cast("long"), OFFSET_BITS) + offset
+    number = F.shiftleft(partition.cast("long"), OFFSET_BITS) + offset
+    error = F.raise_error(F.lit(f"offset of {OFFSET_BITS} bits or more")).cast("long")
+    return F.when(offset < F.lit(1 << OFFSET_BITS), number).otherwise(error)
 
 
 def stream_kafka(
@@ -83,9 +86,10 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TOPIC_RECORD).parquet(path)
 
 
-def stream_files(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """Files are taken in order of modification time, so write in arrival order."""
-    reader = spark.readStream.schema(TOPIC_RECORD)
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(path)
+def stream_files(spark: SparkSession, path: str) -> DataFrame:
+    """All files landed since the last micro-batch.
+
+    A landed slice is many files without an order, so a micro-batch takes whole
+    slices: its size is bounded by what is landed between two triggers.
+    """
+    return spark.readStream.schema(TOPIC_RECORD).parquet(path)

@@ -28,9 +28,15 @@ INVALID = T.StructType(
 
 
 def publish_files(events: DataFrame, batch_id: int, root: str) -> None:
-    """Records as files. No shuffle: each task writes where its keys belong."""
-    records = encode(events).withColumn("part", topic_part(F.col("key")))
-    records.write.mode("overwrite").partitionBy("part").parquet(f"{root}/topic/batch_id={batch_id}")
+    """Records as files. No shuffle: each task writes where its keys belong.
+
+    A batch that is repeated after its files were published is not published
+    again, since a reader of the topic would take the new files for new records.
+    """
+    path = f"{root}/topic/batch_id={batch_id}"
+    if not tables.is_written(events.sparkSession, path):
+        records = encode(events).withColumn("part", topic_part(F.col("key")))
+        records.write.mode("overwrite").partitionBy("part").parquet(path)
 
 
 def write_polled(

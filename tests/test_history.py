@@ -119,3 +119,19 @@ def test_append_is_repeatable(spark, tmp_path):
     tables.append_history(readings(spark, []), path, 2)
     assert content() == want
     assert tables.read_history(spark, path).where("city = 'a'").count() == 3
+
+
+@pytest.mark.parametrize("listed", [1000, 1])
+def test_only_days_of_the_batch_are_opened(spark, tmp_path, monkeypatch, listed):
+    monkeypatch.setattr(tables, "LISTED_DAYS", listed)
+    path, day = str(tmp_path / "history"), 86400
+    tables.create_history(spark, path)
+    first = [reading(0, "a", 1, 100 * day), reading(1, "a", 2, 200 * day)]
+    tables.append_history(readings(spark, first), path, 0)
+    if listed > 1:
+        for file in tmp_path.glob("history/date=1970-04-11/*/*.parquet"):
+            file.write_bytes(b"not parquet")
+    second = [reading(2, "a", 3, 0), reading(3, "a", 4, 200 * day), reading(4, "b", 5, 200 * day)]
+    tables.append_history(readings(spark, second), path, 1)
+    got = tables.read_history(spark, path).where("date <> '1970-04-11'").select("city", "aqi").collect()
+    assert sorted(map(tuple, got)) == [("a", 2), ("a", 3), ("b", 5)]

@@ -5,6 +5,7 @@ import random
 
 import pytest
 from data import brute_force, reading, readings
+from pyspark.sql import types as T
 
 from breezeline.operators import history as H
 from breezeline.operators import messages, scoring, status
@@ -149,3 +150,16 @@ def test_poller_can_publish_elsewhere(spark, tmp_path):
         publish=lambda events, batch_id: seen.extend((batch_id, r.seq) for r in events.collect()),
     ).awaitTermination()
     assert seen == [(0, 0)]
+
+
+def test_repeated_poll_publishes_once(spark, tmp_path):
+    root = str(tmp_path / "out")
+    reg = spark.createDataFrame([(0, "a", None, None, True, None)], REGISTRY)
+    good = '{"status":"ok","data":{"aqi":5}}'
+    batch = spark.createDataFrame([(i, "a", 200, good) for i in range(3)], RESPONSE)
+    tables.create_table(spark, f"{root}/invalid", T.StructType([*poller.INVALID.fields, tables.BATCH]), ["batch_id"])
+    for _ in range(2):
+        poller.write_polled(batch, 0, root, lambda session: reg)
+        run(spark, f"{root}/topic/batch_id=0", str(tmp_path / "monitor"))
+    got = monitor.read_scored(spark, str(tmp_path / "monitor")).collect()
+    assert sorted(r.seq for r in got) == [0, 1, 2]
