@@ -1,4 +1,4 @@
-"""Runs queries and their SQL side by side and compares rows and types.
+"""Runs queries and their SQL, where there is some, side by side and compares rows and types.
 
     python tests/oracle_check.py [sf_dir] [query ...]
 """
@@ -75,7 +75,7 @@ def main(argv):
     con = connect(sf_dir)
     queries, sqls = entry.queries(), entry.oracle_sql()
     failed = 0
-    for name in argv[1:] or queries:
+    for name in argv[1:] or sqls:
         start = time.time()
         try:
             problem = compare(spark, con, sf_dir, queries[name], sqls[name])
