@@ -7,6 +7,7 @@ A word is a run of bytes other than space, tab, LF, VT, FF and CR. Hashes are
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +19,11 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 _rng = np.random.default_rng(20240607)
-_BYTE = _rng.integers(0, 2**64, 256, np.uint64)
-_FOLD = _BYTE.copy()
-_FOLD[65:91] = _BYTE[97:123]  # A-Z count as a-z
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[65:91] += 32  # A-Z count as a-z
+LONG = 64  # bytes
+_SALTS = _rng.integers(0, 2**64, 6, np.uint64)
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _PLACE = _rng.integers(0, 2**64, 64, np.uint64) | np.uint64(1)
 
 
@@ -51,6 +53,38 @@ def pieces(column: pa.Array, size: int = PIECE) -> Iterator[tuple[int, int, np.n
         low = high
 
 
+def coded(letters: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Words given as their letters end to end: a number for each, and the distinct words by number."""
+    ends = np.zeros(len(sizes) + 1, np.int64)
+    np.cumsum(sizes, out=ends[1:])
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(letters)])
+    found = words.dictionary_encode()
+    return found.indices.to_numpy().astype(np.int64), found.dictionary
+
+
+def hashes_of(data: np.ndarray, start: np.ndarray, size: np.ndarray, key: int = 0) -> np.ndarray:
+    """64-bit hashes of the words that lie at these places of ``data``.
+
+    Eight bytes at a time are mixed into what came before, so that no pattern of letters cancels
+    out; words of more than ``LONG`` bytes get a keyed cryptographic hash.
+    """
+    salts = _SALTS[3 * key : 3 * key + 3]
+    lanes = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    out = mix(size.astype(np.uint64) + salts[0])
+    live = np.flatnonzero(size <= LONG)
+    at, left, h = start[live], size[live], out[live]
+    while len(live):
+        lane = lanes[at] & _LOW[np.minimum(left, 8)]
+        h = mix((h + salts[1]) ^ mix(lane ^ salts[2]))
+        out[live] = h
+        more = left > 8
+        live, at, left, h = live[more], at[more] + 8, left[more] - 8, h[more]
+    for i in np.flatnonzero(size > LONG):
+        word = data[start[i] : start[i] + size[i]].tobytes()
+        out[i] = int.from_bytes(blake2b(word, digest_size=8, key=b"word%d" % key).digest(), "little")
+    return out
+
+
 class Words:
     """start, end: byte places of each word; ptr: the first word of each row, and the total."""
 
@@ -71,19 +105,16 @@ class Words:
         self.ptr = np.searchsorted(self.start, offsets)
         self.count = np.diff(self.ptr)
 
-    def hashes(self, fold: bool = False) -> np.ndarray:
-        """A hash for each word; fold: with A-Z as a-z."""
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        size = self.end - self.start
-        first = np.cumsum(size) - size
-        place = np.arange(int(size.sum())) - np.repeat(first, size)
-        powers = np.full(int(size.max()), _STEP, np.uint64)
-        powers[0] = 1
-        np.multiply.accumulate(powers, out=powers)
-        letters = (_FOLD if fold else _BYTE)[self.data[self.solid]]
-        letters *= powers[place]
-        return mix(np.add.reduceat(letters, first) + size.astype(np.uint64))
+    def codes(self, fold: bool = False) -> tuple[np.ndarray, pa.Array]:
+        """A number for each word, equal for equal words, and the distinct words; fold: with A-Z as a-z."""
+        letters = self.data[self.solid]
+        if fold:
+            letters = FOLD[letters]
+        return coded(letters, self.end - self.start)
+
+    def hashes(self, fold: bool = False, key: int = 0) -> np.ndarray:
+        """A hash for each word; fold: with A-Z as a-z; hashes of two keys are independent."""
+        return hashes_of(FOLD[self.data] if fold else self.data, self.start, self.end - self.start, key)
 
     def row_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.count)), self.count)

@@ -109,6 +109,69 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(docs).select("doc_id", "source", "block", "slot", "offset", "in_mix")
 
 
+def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_chats, loss_text, read_turns
+
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    own = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"),
+    )
+    record = F.to_variant_object(F.struct("conv_id", "turn", "role", "text"))
+    chats = format_chats(rows.unionByName(own).select(record.alias("record")))
+    read = chats.select(
+        F.col("conversation").cast("long").alias("conv_id"),
+        read_turns(F.col("formatted")).alias("turns"),
+        loss_text(F.col("segments")).alias("loss"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+    said = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.encode(F.array_join(said, ""), "utf-8"), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.encode("loss", "utf-8"), 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
+def made_periodic(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): the words of each text, those of every tenth one (by a hash of its id) repeated from a place on."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    n = F.size("words")
+    g, a, p = F.col("g"), F.col("a"), F.col("p")
+    chosen = docs.select("doc_id", "text", h.alias("h"), words.alias("words")).select(
+        "*", F.floor(F.col("h") / 10).alias("g"), ((F.col("h") % 10 == 0) & (n > 0)).alias("chosen")
+    )
+    chosen = chosen.select("*", F.when(F.col("chosen"), g % n).alias("a"))
+    chosen = chosen.select("*", F.when(F.col("chosen"), 1 + F.floor((n - a) / (3 + g % 8))).alias("p"))
+    again = F.transform("words", lambda w, i: F.when(i < a, w).otherwise(F.get("words", (a + (i - a) % p).cast("int"))))
+    return chosen.select("doc_id", F.when(F.col("chosen"), F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic import collapse_runs
+
+    found = collapse_runs(made_periodic(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    cells = ("start", "length", "period")
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *(r[c].cast("string") for c in cells)), F.lit("\n")))
+    order = F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("start"), r["period"].alias("period")))
+    best = F.array_min(order)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"),
+        (-best["l"]).alias("length"),
+        best["period"].alias("period"),
+        F.try_divide(-1000 * best["l"] - (-1000 * best["l"]) % best["period"], best["period"]).cast("long").alias("exponent_milli"),
+        F.sha2(F.encode(F.array_join(line, ""), "utf-8"), 256).alias("runs_sha256"),
+        F.sha2(F.encode("collapsed", "utf-8"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_main_text": op1_main_text,
     "op2_near_vectors": op2_near_vectors,
@@ -120,7 +183,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeats": op8_repeats,
     "op9_secrets": op9_secrets,
     "op10_mixing": op10_mixing,
+    "op11_chat": op11_chat,
+    "op12_periodic": op12_periodic,
 }
 
+_MARKS = r"(<)(\\*(?:<SYS>>|</SYS>>|s>|/s>|\|role\|>|\|text\|>|\|end\|>))|(\[)(\\*(?:/?INST\]))"
+
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op11_chat": f"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+sized AS (
+  SELECT *, length(text) + len(regexp_extract_all(text, '{_MARKS}'))
+    + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7
+      ELSE 23 + length(role) + len(regexp_extract_all(role, '{_MARKS}')) END AS chars
+  FROM rows)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+""",
+}
