@@ -88,10 +88,10 @@ def hashes_of(data: np.ndarray, start: np.ndarray, size: np.ndarray, key: int =
 class Words:
     """start, end: byte places of each word; ptr: the first word of each row, and the total."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE):
         self.data = data
         n = len(data)
-        space = SPACE[data]
+        space = between[data]
         opens, closes = np.empty(n, bool), np.empty(n, bool)
         if n:
             opens[0] = closes[-1] = True

@@ -172,6 +172,12 @@ def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrases import collocations, frequent_phrases
+
+    return collocations(frequent_phrases(_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_main_text": op1_main_text,
     "op2_near_vectors": op2_near_vectors,
@@ -185,6 +191,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
     "op11_chat": op11_chat,
     "op12_periodic": op12_periodic,
+    "op13_phrases": op13_phrases,
 }
 
 _MARKS = r"(<)(\\*(?:<SYS>>|</SYS>>|s>|/s>|\|role\|>|\|text\|>|\|end\|>))|(\[)(\\*(?:/?INST\]))"
@@ -207,5 +214,33 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(chars) AS BIGINT) AS formatted_chars
 FROM sized GROUP BY conv_id
+""",
+    "op13_phrases": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+worded AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS w FROM pieces),
+grams AS (
+  SELECT lang, words, unnest(list_transform(range(1, len(w) - words + 2),
+    lambda i: array_to_string(w[i:i + words - 1], ' '))) AS phrase
+  FROM worded, range(1, 5) AS lengths(words)),
+counts AS (SELECT lang, words, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM worded GROUP BY lang),
+cuts AS (
+  SELECT lang, words, phrase, f AS a, k, array_to_string(string_split(phrase, ' ')[:k], ' ') AS first,
+    array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS rest
+  FROM counts, range(1, 4) AS places(k) WHERE words >= 2 AND k < words),
+scored AS (
+  SELECT c.*, x.f AS l, y.f AS r, CAST(2000000::HUGEINT * a // (x.f::HUGEINT + y.f) AS BIGINT) AS score
+  FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = c.first JOIN counts y ON y.lang = c.lang AND y.phrase = c.rest),
+worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+kept AS (
+  SELECT * FROM worst w WHERE NOT EXISTS (
+    SELECT 1 FROM counts c WHERE c.lang = w.lang AND c.words > w.words
+      AND contains(' ' || c.phrase || ' ', ' ' || w.phrase || ' ') AND 100::HUGEINT * c.f >= 80::HUGEINT * w.a))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN totals USING (lang)
+QUALIFY rank <= 2000
 """,
 }
