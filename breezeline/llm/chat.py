@@ -276,15 +276,16 @@ def read_turns(text: Column, template: Template = INST) -> Column:
     pieces = F.split(text, template.any_mark, -1)
     between = template.other[1]
     opens = [start for start, _ in template.roles.values()] + [between]
+    # each mark with the texts before and after it, split once
+    steps = F.arrays_zip(marks.alias("mark"), pieces.alias("before"), F.slice(pieces, F.lit(2), F.size(marks)).alias("after"))
 
-    def turn(mark, i):
-        role = F.when(mark == between, template.unescaped(F.get(pieces, i)))
+    def turn(step):
+        role = F.when(step["mark"] == between, template.unescaped(step["before"]))
         for name, (start, _) in template.roles.items():
-            role = role.when(mark == start, F.lit(name))
-        body = template.unescaped(F.get(pieces, i + 1))
-        return F.when(mark.isin(opens), F.struct(role.alias("role"), body.alias("text")))
+            role = role.when(step["mark"] == start, F.lit(name))
+        return F.struct(role.alias("role"), template.unescaped(step["after"]).alias("text"))
 
-    return F.filter(F.transform(marks, turn), lambda t: t.isNotNull())
+    return F.transform(F.filter(steps, lambda step: F.coalesce(step["mark"].isin(opens), F.lit(False))), turn)
 
 
 def loss_text(pieces: Column, template: Template = INST) -> Column:
