@@ -30,7 +30,7 @@ FILTER_BITS = 1 << 27
 SPARE = 8  # counters of a summary, as a multiple of mass / threshold
 PART_BYTES = 8 << 20  # text whose n-grams meet in one hash partition
 LEAST_PARTS = 16
-FLUSH_BYTES = 8 << 20  # text counted before a message is sent
+FLUSH_BYTES = 6 << 20  # text counted before a message is sent
 CHUNK = 1 << 20  # entries that are merged into a summary at once
 SALTS = 64  # of the first cut of a ranking
 
@@ -63,7 +63,7 @@ def _grams(langs: pa.Array, data: np.ndarray, offsets: np.ndarray):
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     return keys[first], np.add.reduceat(counts[order], first) if len(keys) else counts
@@ -76,13 +76,18 @@ def _pieces(batches):
             yield langs.slice(low, high - low), data, offsets
 
 
+def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """Hash partitions follow one another in the order of the hashes."""
+    return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
 def _sender(parts: int):
-    def messages(hashes, counts):
-        hashes, counts = _summed(np.concatenate(hashes), np.concatenate(counts))
-        part = ((hashes >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        part, keys, counts = part[order], hashes[order].astype(np.uint32), counts[order].astype(np.uint32)
-        names, at = np.unique(part, return_index=True)
+    def message(hashes):
+        hashes.sort()
+        first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, np.int64)
+        counts = np.diff(np.append(first, len(hashes))).astype(np.uint32)
+        names, at = np.unique(_part(hashes[first], parts), return_index=True)
+        keys = hashes[first].astype(np.uint32)
         rows = []
         for name, k, c in zip(names.tolist(), np.split(keys, at[1:]), np.split(counts, at[1:])):
             one = c == 1
@@ -94,19 +99,15 @@ def _sender(parts: int):
         )
 
     def run(batches):
-        hashes, counts, size = [], [], 0
+        held, size = [], 0
         for langs, data, offsets in _pieces(batches):
-            _, _, _, grams = _grams(langs, data, offsets)
-            found = np.concatenate([h for _, h in grams])
-            keys, times = _summed(found, np.ones(len(found), np.int64))
-            hashes.append(keys)
-            counts.append(times)
+            held += [hashes for _, hashes in _grams(langs, data, offsets)[3]]
             size += len(data)
             if size >= FLUSH_BYTES:
-                yield messages(hashes, counts)
-                hashes, counts, size = [], [], 0
-        if hashes:
-            yield messages(hashes, counts)
+                yield message(np.concatenate(held))
+                held, size = [], 0
+        if held:
+            yield message(np.concatenate(held))
 
     return run
 
@@ -170,8 +171,7 @@ def _counter(parts: int, filter_bits):
             width = len(texts)
             rows = [(names[i], 0, b"", n) for i, n in enumerate(np.bincount(lang, minlength=len(names)).tolist())]
             for n, (first, hashes) in enumerate(grams, 1):
-                part = (hashes >> np.uint64(32)) % np.uint64(parts)
-                place = _place(part, hashes.astype(np.uint32), 8 * len(bits)) - 1
+                place = _place(_part(hashes, parts), hashes.astype(np.uint32), 8 * len(bits)) - 1
                 first = first[(bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1]
                 kind = lang[first]
                 for j in range(n):  # numbers of equal beginnings, exactly
