@@ -104,6 +104,40 @@ def insert_seed(registry: DataFrame, seed: DataFrame) -> DataFrame:
     return registry.select(*REGISTRY_COLUMNS).unionByName(added)
 
 
+def newest_flags(changes: DataFrame) -> DataFrame:
+    """``(name, valid_entry, flag_at)``: the newest of each name's changes.
+
+    Of two changes at one time, the one that makes the entry invalid wins; a
+    change without a time is older than any other.
+    """
+    invalid = ~F.coalesce("valid_entry", F.lit(False))
+    newest = F.max(F.struct("flag_at", invalid.alias("invalid"), "valid_entry")).alias("_newest")
+    return changes.groupBy("name").agg(newest).select("name", "_newest.valid_entry", "_newest.flag_at")
+
+
+def apply_flags(registry: DataFrame, newest: DataFrame) -> DataFrame:
+    """The registry with every flag that has changed since its own ``flag_at``.
+
+    ``newest`` has each name once (``newest_flags``); names without an entry are
+    left out. At equal times an invalid flag wins.
+    """
+    c = F.col
+    at, flag = c("_change.flag_at"), c("_change.valid_entry")
+    older = c("flag_at").isNull() | (c("flag_at") < at)
+    tie = (c("flag_at") == at) & ~F.coalesce(flag, F.lit(False))
+    taken = F.coalesce(at.isNotNull() & (older | tie), F.lit(False))
+    change = newest.select("name", F.struct("valid_entry", "flag_at").alias("_change"))
+    new = {"valid_entry": flag, "flag_at": at}
+    return registry.join(change, "name", "left").select(
+        *[F.when(taken, new[n]).otherwise(c(n)).alias(n) if n in new else c(n) for n in registry.columns]
+    )
+
+
+def merge_registry(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """The rows of ``incoming``, each with the newer of its own and its stored flag."""
+    return apply_flags(incoming, stored.select("name", "valid_entry", "flag_at"))
+
+
 def reload_summary(old: DataFrame, new: DataFrame) -> DataFrame:
     """One row ``(old_count, new_count, change, label)`` for a registry reload.
 
@@ -112,11 +146,18 @@ def reload_summary(old: DataFrame, new: DataFrame) -> DataFrame:
     sides = old.where("valid_entry").select(F.lit(1).alias("o"), F.lit(0).alias("n")).unionAll(
         new.where("valid_entry").select(F.lit(0).alias("o"), F.lit(1).alias("n"))
     )
+    return summarized(
+        sides.agg(
+            F.coalesce(F.sum("o"), F.lit(0)).alias("old_count"),
+            F.coalesce(F.sum("n"), F.lit(0)).alias("new_count"),
+        )
+    )
+
+
+def summarized(counts: DataFrame) -> DataFrame:
+    """Adds ``change`` and ``label`` to rows with ``old_count`` and ``new_count``."""
     c = F.col
-    counts = sides.agg(
-        F.coalesce(F.sum("o"), F.lit(0)).alias("old_count"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("new_count"),
-    ).withColumn("change", c("new_count") - c("old_count"))
+    counts = counts.withColumn("change", c("new_count") - c("old_count"))
     old_text, new_text = c("old_count").cast("string"), c("new_count").cast("string")
     label = (
         F.when(

@@ -273,6 +273,23 @@ def registry_reload(spark, sf_dir):
     return registry.reload_summary(old, registry.mark_invalid(old, _invalid_names(spark, sf_dir)))
 
 
+def _flags(df):
+    return df.select("name", "valid_entry", F.unix_seconds("flag_at").alias("flag_at"))
+
+
+def registry_newest_flags(spark, sf_dir):
+    """Flags after all changes, the newest of them winning over older flags."""
+    changes = registry.newest_flags(inputs.flag_changes(spark, sf_dir))
+    return _flags(registry.apply_flags(inputs.dated_registry(spark, sf_dir), changes))
+
+
+def registry_merge(spark, sf_dir):
+    """A reload merged with flags that the stream has changed in the meantime."""
+    stored = registry.newest_flags(inputs.flag_changes(spark, sf_dir))
+    half = inputs.dated_registry(spark, sf_dir).where("id % 2 = 0")
+    return _flags(registry.merge_registry(stored, half))
+
+
 # -- topic
 
 
@@ -326,6 +343,8 @@ QUERIES: dict[str, Query] = {
         registry_invalidation_report,
         registry_seed_insert,
         registry_reload,
+        registry_newest_flags,
+        registry_merge,
         topic_round_trip,
         topic_decode,
         topic_rejects,
@@ -335,5 +354,7 @@ QUERIES: dict[str, Query] = {
         streams.stream_rejects,
         streams.stream_poll_events,
         streams.stream_poll_invalid,
+        streams.stream_registry_events,
+        streams.stream_registry_reloads,
     )
 }

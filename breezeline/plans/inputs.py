@@ -61,6 +61,23 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def dated_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry with the time of each flag's last change, unknown for some."""
+    day = F.col("id") % 40
+    at = F.when(day < 35, F.timestamp_seconds(F.lit(1704067200) + day * DAY))
+    return registry(spark, sf_dir).withColumn("flag_at", at)
+
+
+def flag_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors make a city invalid, purchases make it valid again, at the minute they happen."""
+    kind = F.col("event_type")
+    return table(spark, sf_dir, "events").where(kind.isin("error", "purchase")).select(
+        F.col("user_id").cast("string").alias("name"),
+        (kind == "purchase").alias("valid_entry"),
+        F.timestamp_seconds(F.floor(ntz_to_seconds(F.col("ts")) / 60) * 60).alias("flag_at"),
+    )
+
+
 def seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as new cities, named after their nation, so names repeat, plus
     the customers, whose names are taken."""

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from .catalog import CITY
 from .inputs import BODIES, NO_CITY, NO_RESPONSE, SERVER_ERROR, VALUES
-from .streams import SLICES
+from .streams import ENABLED_BEFORE, SLICES
 
 READING = [
     "city", "aqi", "co", "no2", "pm10", "pm25", "temperature", "timestamp", "latitude", "longitude",
@@ -211,9 +211,9 @@ checked AS (
   FROM parsed)"""
 
 
-def _slice_of(seq: str) -> str:
+def _slice_of(seq: str, slices: int = SLICES) -> str:
     low, span = "(SELECT min(event_id) FROM events)", "(SELECT max(event_id) - min(event_id) + 1 FROM events)"
-    return f"CAST(floor(({seq} - {low}) * {SLICES} / {span}) AS BIGINT)"
+    return f"CAST(floor(({seq} - {low}) * {slices} / {span}) AS BIGINT)"
 
 
 # A response counts if its city is valid and no response of an earlier slice
@@ -225,6 +225,40 @@ polled AS (
   SELECT l.* FROM live l LEFT JOIN gone g ON g.city = l.city
   WHERE g.city IS NULL OR l.slice <= g.slice)"""
 
+FLAGS = """changes AS (
+  SELECT CAST(user_id AS VARCHAR) AS name, event_type = 'purchase' AS valid_entry,
+         epoch_us(ts) // 1000000 // 60 * 60 AS flag_at
+  FROM events WHERE event_type IN ('error', 'purchase')),
+newest AS (
+  SELECT * FROM changes
+  QUALIFY row_number() OVER (PARTITION BY name ORDER BY flag_at DESC, valid_entry) = 1),
+dated AS (
+  SELECT *, CASE WHEN id % 40 < 35 THEN 1704067200 + id % 40 * 86400 END AS flag_at FROM r),
+flagged AS (
+  SELECT d.id, d.name, n.flag_at IS NOT NULL AND (d.flag_at IS NULL OR d.flag_at < n.flag_at
+           OR (d.flag_at = n.flag_at AND NOT n.valid_entry)) AS taken,
+         n.valid_entry AS new_flag, n.flag_at AS new_at, d.valid_entry, d.flag_at
+  FROM dated d LEFT JOIN newest n ON n.name = d.name)"""
+_FLAG_ROW = """SELECT name, CASE WHEN taken THEN new_flag ELSE valid_entry END AS valid_entry,
+  CAST(CASE WHEN taken THEN new_at ELSE flag_at END AS BIGINT) AS flag_at FROM flagged"""
+VERSIONED = f"""numbered AS (SELECT *, {_slice_of("seq", 3)} AS slice FROM laddered),
+live AS (SELECT n.* FROM numbered n JOIN r ON r.name = n.city WHERE r.valid_entry),
+gone AS (
+  SELECT city, min(slice) AS slice FROM live
+  WHERE error = 'unknown station' AND slice < {ENABLED_BEFORE} GROUP BY city),
+polled AS (
+  SELECT l.* FROM live l LEFT JOIN gone g ON g.city = l.city
+  WHERE g.city IS NULL OR l.slice <= g.slice
+    OR (l.slice >= {ENABLED_BEFORE} AND CAST(l.city AS BIGINT) % 2 = 0)),
+found AS (SELECT DISTINCT slice, city FROM polled WHERE error = 'unknown station'),
+counted AS (
+  SELECT batch_id, (SELECT count(*) FROM r WHERE valid_entry)
+      - (SELECT count(*) FROM gone WHERE slice < batch_id
+           AND (batch_id < {ENABLED_BEFORE} OR CAST(city AS BIGINT) % 2 = 1)) AS new_count,
+    (SELECT count(*) FROM found WHERE slice = batch_id) AS rows_affected
+  FROM range(3) AS batches(batch_id)),
+changed AS (SELECT *, coalesce(lag(new_count) OVER (ORDER BY batch_id), 0) AS old_count FROM counted)"""
+
 
 def _with(*parts_and_query: str) -> str:
     *parts, query = parts_and_query
@@ -232,6 +266,12 @@ def _with(*parts_and_query: str) -> str:
 
 
 _HIST_COLUMNS = _list(HISTORY)
+_RELOAD_LABEL = """CASE WHEN old_count = 0 AND new_count > 0
+         THEN 'Cities loaded: 0 → ' || new_count || ' (scheduler now active!)'
+       WHEN new_count <> old_count
+         THEN 'Cities reloaded: ' || old_count || ' → ' || new_count || ' (change: '
+              || CASE WHEN new_count > old_count THEN '+' ELSE '' END || (new_count - old_count) || ')'
+       ELSE 'Cities reloaded: ' || new_count || ' (no changes)' END"""
 _STATUS_ROW = f'SELECT city, "currentAqi", ema, {_list(STATUS)} FROM st'
 
 ORACLE: dict[str, str] = {
@@ -385,14 +425,7 @@ WHERE name NOT IN (SELECT name FROM r)""",
         BAD_NAMES,
         """c AS (SELECT count(*) FILTER (valid_entry) AS old_count,
     count(*) FILTER (valid_entry AND name NOT IN (SELECT name FROM bad)) AS new_count FROM r)""",
-        """SELECT old_count, new_count, new_count - old_count AS change,
-  CASE WHEN old_count = 0 AND new_count > 0
-         THEN 'Cities loaded: 0 → ' || new_count || ' (scheduler now active!)'
-       WHEN new_count <> old_count
-         THEN 'Cities reloaded: ' || old_count || ' → ' || new_count || ' (change: '
-              || CASE WHEN new_count > old_count THEN '+' ELSE '' END || (new_count - old_count) || ')'
-       ELSE 'Cities reloaded: ' || new_count || ' (no changes)' END AS label
-FROM c""",
+        f"SELECT old_count, new_count, new_count - old_count AS change, {_RELOAD_LABEL} AS label FROM c",
     ),
     "topic_round_trip": _with(M, f"SELECT seq, {_list(READING)} FROM m"),
     "topic_decode": _with(
@@ -427,5 +460,25 @@ FROM checked WHERE ok""",
         """SELECT DISTINCT city AS name, 1 AS rows_affected, CAST(NULL AS VARCHAR) AS error
 FROM polled WHERE error = 'unknown station'""",
     ),
+    "registry_newest_flags": _with(REG, FLAGS, _FLAG_ROW),
+    "registry_merge": _with(REG, FLAGS, f"{_FLAG_ROW} WHERE id % 2 = 0"),
+    "stream_registry_events": _with(
+        M,
+        RESP,
+        LADDER,
+        REG,
+        VERSIONED,
+        EVENTS.replace("FROM laddered", "FROM polled"),
+        f"SELECT seq, {_list(READING)} FROM ev",
+    ),
+    "stream_registry_reloads": _with(
+        M,
+        RESP,
+        LADDER,
+        REG,
+        VERSIONED,
+        f"""SELECT batch_id, old_count, new_count, new_count - old_count AS change, {_RELOAD_LABEL} AS label,
+  rows_affected FROM changed""",
+    ),
 }
 ORACLE["registry_semi_join_salted"] = ORACLE["registry_semi_join"]

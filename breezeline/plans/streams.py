@@ -18,6 +18,7 @@ from ..schemas import MEASUREMENT, RESPONSE
 from ..session import work_dir
 from ..sources import responses as response_source
 from ..sources import tables, topic
+from ..sources.registry_store import RegistryStore
 from ..streaming import monitor, poller
 from . import inputs
 
@@ -97,3 +98,35 @@ def stream_poll_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_poll_invalid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poller.read_invalid(spark, _polled(spark, sf_dir)).select("name", "rows_affected", "error")
+
+
+ENABLED_BEFORE = 2  # the slice before which every other city is enabled again
+
+
+def _versioned(spark: SparkSession, sf_dir: str) -> str:
+    """Three polls over a versioned registry; before the last, cities of even number found unknown are enabled again."""
+    root = work_dir(spark)
+    landing, out = f"{root}/landed", f"{root}/poller"
+    store = RegistryStore(spark, f"{root}/registry")
+    store.create(inputs.registry(spark, sf_dir))
+    rows = inputs.responses(spark, sf_dir).select(*RESPONSE.names)
+    for number, part in enumerate(slices(rows, 3)):
+        if number == ENABLED_BEFORE:
+            again = poller.read_invalid(spark, out).where("cast(name as long) % 2 = 0")
+            store.change(again.select("name", F.lit(True).alias("valid_entry")))
+        part.write.mode("append").parquet(landing)
+        landed = response_source.stream_responses(spark, landing, "parquet")
+        poller.run_poller(landed, out, store).awaitTermination()
+    return out
+
+
+def stream_registry_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings published while the registry changes, cities enabled again among them."""
+    records = topic.read_files(spark, f"{_versioned(spark, sf_dir)}/topic")
+    return messages.readings(messages.decode(records)).select(*MEASUREMENT.names)
+
+
+def stream_registry_reloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each poll of a changing registry found: counts before and now, and the entries it made invalid."""
+    reloads = poller.read_reloads(spark, _versioned(spark, sf_dir))
+    return reloads.select("batch_id", "old_count", "new_count", "change", "label", "rows_affected")

@@ -16,6 +16,7 @@ from ..operators.messages import encode, topic_part
 from ..operators.skew import SPLIT_ROWS
 from ..schemas import RESPONSE
 from ..sources import tables
+from ..sources.registry_store import RegistryStore
 
 REJECT = T.StructType([*RESPONSE.fields, T.StructField("error", T.StringType())])
 INVALID = T.StructType(
@@ -25,6 +26,16 @@ INVALID = T.StructType(
         T.StructField("error", T.StringType()),
     ]
 )
+RELOAD = T.StructType(
+    [
+        T.StructField("version", T.LongType()),
+        T.StructField("old_count", T.LongType()),
+        T.StructField("new_count", T.LongType()),
+        T.StructField("change", T.LongType()),
+        T.StructField("label", T.StringType()),
+        T.StructField("rows_affected", T.LongType()),
+    ]
+)
 
 
 def publish_files(events: DataFrame, batch_id: int, root: str) -> None:
@@ -43,22 +54,30 @@ def write_polled(
     batch: DataFrame,
     batch_id: int,
     root: str,
-    load_registry: Callable[[SparkSession], DataFrame],
+    registry: RegistryStore | Callable[[SparkSession], DataFrame],
     split_rows: int = SPLIT_ROWS,
     publish: Callable[[DataFrame, int], None] | None = None,
 ) -> None:
     """All results of one micro-batch of responses.
 
-    The registry is loaded anew for every micro-batch, with the invalidations
-    of earlier ones applied: a city leaves the poll after the batch that found
-    its station unknown.
+    A city leaves the poll after the batch that found its station unknown. With
+    a ``RegistryStore`` the batch works on the version that was the newest at
+    its first attempt, writes how that differs from the batch before, and commits
+    its invalidations as a change of its own time, so that a later change can
+    enable the city again. With a function, which loads a registry that the
+    stream may not write, the invalidations of all earlier batches are applied.
     """
     spark = batch.sparkSession
-    earlier = tables.read_table(spark, f"{root}/invalid", INVALID).where(
-        F.col("batch_id") < batch_id
-    )
-    registry = R.mark_invalid(load_registry(spark), earlier)
-    polled = R.of_valid_cities(batch, registry, split_rows)
+    store = registry if isinstance(registry, RegistryStore) else None
+    if store:
+        version = store.pin(_poll(batch_id))
+        entries = store.read(version)
+    else:
+        earlier = tables.read_table(spark, f"{root}/invalid", INVALID).where(
+            F.col("batch_id") < batch_id
+        )
+        entries = R.mark_invalid(registry(spark), earlier)
+    polled = R.of_valid_cities(batch, entries, split_rows)
     classified = responses.classify(polled).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         events = responses.events(classified)
@@ -67,22 +86,44 @@ def write_polled(
         else:
             publish(events, batch_id)
         tables.write_batch(responses.rejects(classified), f"{root}/rejects", batch_id)
-        report = R.invalidation_report(registry, responses.invalid_cities(classified))
+        report = R.invalidation_report(entries, responses.invalid_cities(classified))
         tables.write_batch(report, f"{root}/invalid", batch_id)
     finally:
         classified.unpersist()
+    if store:
+        invalid = tables.read_batch(spark, f"{root}/invalid", batch_id, INVALID)
+        changes = invalid.select("name", F.lit(False).alias("valid_entry"))
+        affected = store.change(changes, tag=_poll(batch_id)).affected
+        tables.write_batch(_reload(spark, store, version, batch_id, affected), f"{root}/reloads", batch_id)
+
+
+def _poll(batch_id: int) -> str:
+    return f"poll-{batch_id}"
+
+
+def _reload(spark: SparkSession, store: RegistryStore, version: int, batch_id: int, affected: int) -> DataFrame:
+    """What the registry held at the batch before and holds at this one, and how many entries this one names.
+
+    The counts were observed when the versions were written.
+    """
+    old = store.commit(store.pin(_poll(batch_id - 1))).valid if batch_id else 0
+    row = [(version, old, store.commit(version).valid, affected)]
+    counts = spark.createDataFrame(row, "version long, old_count long, new_count long, rows_affected long")
+    return R.summarized(counts).select(*RELOAD.names)
 
 
 def run_poller(
     landed: DataFrame,
     root: str,
-    load_registry: Callable[[SparkSession], DataFrame],
+    registry: RegistryStore | Callable[[SparkSession], DataFrame],
     split_rows: int = SPLIT_ROWS,
     publish: Callable[[DataFrame, int], None] | None = None,
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Starts the poller over a stream of ``(seq, city, status_code, body)``.
 
+    ``registry`` is a versioned registry, which the stream writes, or a function that loads one.
+
     Readings go to topic files below ``root``, or to ``publish(events, batch_id)``,
     for instance one that calls ``topic.write_kafka``.
     """
@@ -94,7 +135,7 @@ def run_poller(
     )
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        write_polled(batch, batch_id, root, load_registry, split_rows, publish)
+        write_polled(batch, batch_id, root, registry, split_rows, publish)
 
     return (
         landed.writeStream.foreachBatch(write)
@@ -110,3 +151,7 @@ def read_rejects(spark: SparkSession, root: str) -> DataFrame:
 
 def read_invalid(spark: SparkSession, root: str) -> DataFrame:
     return tables.read_table(spark, f"{root}/invalid", INVALID)
+
+
+def read_reloads(spark: SparkSession, root: str) -> DataFrame:
+    return tables.read_table(spark, f"{root}/reloads", RELOAD)
