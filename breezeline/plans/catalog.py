@@ -15,7 +15,7 @@ from . import inputs, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-CITY = "7"
+CITY = inputs.CITY
 # Rows per chunk for the variants that cut every city as if it were hot.
 SMALL_CHUNK = 10
 ALERT_COLUMNS = ["seq", "city", "aqi", "ema_before", "alert_type", "details"]
@@ -351,6 +351,8 @@ QUERIES: dict[str, Query] = {
         streams.stream_outcomes,
         streams.stream_history,
         streams.stream_status,
+        streams.stream_status_one,
+        streams.stream_repeated_outcomes,
         streams.stream_rejects,
         streams.stream_poll_events,
         streams.stream_poll_invalid,

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.times import ntz_to_seconds
 
 DAY = 86400
+CITY = "7"  # the city of single look-ups
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -481,4 +481,6 @@ FROM polled WHERE error = 'unknown station'""",
   rows_affected FROM changed""",
     ),
 }
+ORACLE["stream_status_one"] = ORACLE["status_one"]
+ORACLE["stream_repeated_outcomes"] = ORACLE["stream_outcomes"]
 ORACLE["registry_semi_join_salted"] = ORACLE["registry_semi_join"]

@@ -68,7 +68,27 @@ def stream_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = monitored(spark, inputs.readings(spark, sf_dir), _land_readings)
-    return monitor.status_now(monitor.read_status(spark, root))
+    return monitor.status_now(spark, root)
+
+
+def stream_status_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One city's status, looked up in the state of the stream."""
+    root = monitored(spark, inputs.readings(spark, sf_dir), _land_readings)
+    return monitor.status_now(spark, root, inputs.CITY)
+
+
+def stream_repeated_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of a topic whose publisher sends every slice twice, and the second one with the third."""
+    root = work_dir(spark)
+    parts = slices(inputs.readings(spark, sf_dir), 3)
+    for sent in ((0, 0), (0, 1), (1, 2, 2)):
+        for number in sent:
+            topic.write_files(parts[number], f"{root}/topic")
+        records = topic.stream_files(spark, f"{root}/topic")
+        monitor.run_monitor(records, f"{root}/monitor").awaitTermination()
+    return monitor.read_outcomes(spark, f"{root}/monitor").select(
+        "seq", "city", "aqi", "ema_before", "position", "outcome", "details"
+    )
 
 
 def stream_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:

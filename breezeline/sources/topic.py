@@ -10,6 +10,7 @@ from ..schemas import TOPIC_RECORD
 
 TOPIC = "aqi-raw"
 OFFSET_BITS = 44
+NUMBER = "seq"  # header with a reading's arrival number at the publisher
 
 
 def arrival_number(partition: Column, offset: Column) -> Column:
@@ -33,6 +34,9 @@ def stream_kafka(
 ) -> DataFrame:
     """Records from the newest on; the query's checkpoint keeps the position.
 
+    A record that carries its publisher's number keeps it, so that one that is
+    sent again is known for a repeat; others are numbered by their place.
+
     Needs the Kafka connector on the class path.
     """
     reader = (
@@ -40,22 +44,40 @@ def stream_kafka(
         .option("kafka.bootstrap.servers", servers)
         .option("subscribe", topic)
         .option("startingOffsets", starting)
+        .option("includeHeaders", "true")
         .options(**options)
     )
     if max_records:
         reader = reader.option("maxOffsetsPerTrigger", max_records)
-    return reader.load().select(
-        arrival_number(F.col("partition"), F.col("offset")).alias("seq"),
+    return from_kafka(reader.load())
+
+
+def from_kafka(rows: DataFrame) -> DataFrame:
+    """``(seq, key, value)`` of rows as the Kafka source gives them, headers included."""
+    own = F.filter("headers", lambda h: h["key"] == NUMBER)
+    number = F.get(own, F.lit(0))["value"].cast("string").try_cast("long")
+    return rows.select(
+        F.coalesce(number, arrival_number(F.col("partition"), F.col("offset"))).alias("seq"),
         F.col("key").cast("string").alias("key"),
         F.col("value").cast("string").alias("value"),
     )
 
 
+def to_kafka(readings: DataFrame) -> DataFrame:
+    """``(key, value, headers)``, each city's records in one task and in order of their numbers.
+
+    The number goes along as a header. A task that is run again sends its records again, in order
+    again, so a reader that takes only growing numbers of a city takes each record once.
+    """
+    numbered = F.array(F.struct(F.lit(NUMBER).alias("key"), F.encode(F.col("seq").cast("string"), "utf-8").alias("value")))
+    records = encode(readings).repartition("key").sortWithinPartitions("key", "seq")
+    return records.select("key", "value", numbered.alias("headers"))
+
+
 def write_kafka(readings: DataFrame, servers: str, topic: str = TOPIC, **options) -> None:
     """Appends readings; the broker places each record by its key, the city."""
     (
-        encode(readings)
-        .select("key", "value")
+        to_kafka(readings)
         .write.format("kafka")
         .option("kafka.bootstrap.servers", servers)
         .option("kafka.acks", "1")

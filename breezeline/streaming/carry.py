@@ -1,39 +1,56 @@
-"""Keyed state of the stream: the last values of every city.
+"""Keyed state of the stream: the last values of every city, its last reading and its number.
 
-The state store keeps at most ``size`` ints per city. What reaches a city's
-task is already cut down map side: each Arrow batch sends at most its last
-``size`` values per city, so a hot city costs its task a thousandth of its rows
-and the task holds only ``size`` values at any time.
+The state store keeps at most ``size`` ints and one reading per city. What
+reaches a city's task is already cut down map side: each Arrow batch sends at
+most its last ``size`` readings per city, so a hot city costs its task a
+thousandth of its rows and the task holds only ``size`` of them at any time.
+
+A reading counts once. Its arrival number increases within a city, so one whose
+number is not above the last accepted one has come before, as it does when a
+publisher sends a batch again; it changes neither values nor averages.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-VALUES = T.StructType(
+from ..schemas import STATUS
+
+LAST = T.StructType(STATUS.fields[3:])  # what the current status shows of the last reading, but for city and aqi
+SENT = T.StructType(
     [
         T.StructField("city", T.StringType()),
         T.StructField("seq", T.LongType()),
         T.StructField("aqi", T.IntegerType()),
+        *LAST.fields,
+    ]
+)
+STATE = T.StructType(
+    [
+        T.StructField("values", T.ArrayType(T.IntegerType())),  # oldest first
+        T.StructField("seq", T.LongType()),  # of the last accepted reading
+        *LAST.fields,
     ]
 )
-STATE = T.StructType([T.StructField("values", T.ArrayType(T.IntegerType()))])
 CARRY = T.StructType(
     [
         T.StructField("city", T.StringType()),
-        # last values before this micro-batch, and after it; oldest first
+        # last values before this micro-batch, oldest first, and the number of the last one
         T.StructField("carried", T.ArrayType(T.IntegerType())),
-        T.StructField("values", T.ArrayType(T.IntegerType())),
+        T.StructField("before", T.LongType()),
     ]
 )
+NO_NUMBER = -(1 << 63)  # before a city's first reading
 
 
-def last_values(size: int):
+def last_readings(size: int):
     def cut(batches):
         for batch in batches:
-            yield batch.sort_values("seq").groupby("city", sort=False).tail(size)
+            once = batch.sort_values("seq").drop_duplicates(["city", "seq"])
+            yield once.groupby("city", sort=False).tail(size)
 
     return cut
 
@@ -42,15 +59,21 @@ def remember(size: int):
     def update(key, batches, state):
         import pandas as pd
 
-        carried = [int(v) for v in state.get[0]] if state.exists else []
+        carried, before = [], NO_NUMBER
+        if state.exists:
+            carried, before = [int(v) for v in state.get[0]], int(state.get[1])
         newest = None
         for batch in batches:
+            batch = batch[batch["seq"] > before]
             both = batch if newest is None else pd.concat([newest, batch])
-            newest = both[["seq", "aqi"]].nlargest(size, "seq")
-        arrived = newest.sort_values("seq")["aqi"].tolist()
-        values = (carried + arrived)[-size:]
-        state.update((values,))
-        yield pd.DataFrame({"city": [key[0]], "carried": [carried], "values": [values]})
+            newest = both.drop_duplicates("seq").nlargest(size, "seq")
+        if len(newest):
+            arrived = newest.sort_values("seq")
+            last = arrived.iloc[-1]
+            values = (carried + [int(v) for v in arrived["aqi"]])[-size:]
+            shown = [int(last[f.name]) if f.name == "timestamp" else float(last[f.name]) for f in LAST.fields]
+            state.update((values, int(last["seq"]), *shown))
+        yield pd.DataFrame({"city": [key[0]], "carried": [carried], "before": [before]})
 
     return update
 
@@ -61,10 +84,27 @@ def carried_values(readings: DataFrame, size: int) -> DataFrame:
     No watermark and no timeout: order is arrival order and state stays.
     """
     return (
-        readings.select("city", "seq", "aqi")
-        .mapInPandas(last_values(size), VALUES)
+        readings.select(*SENT.names)
+        .mapInPandas(last_readings(size), SENT)
         .groupBy("city")
         .applyInPandasWithState(
             remember(size), CARRY, STATE, "append", GroupStateTimeout.NoTimeout
         )
     )
+
+
+def new_readings(readings: DataFrame, carry: DataFrame) -> DataFrame:
+    """A micro-batch's readings without those that came before, in it or in an earlier one."""
+    before = carry.where(F.col("before") > NO_NUMBER).select("city", "before")
+    known = readings.dropDuplicates(["city", "seq"]).join(before, "city", "left")
+    return known.where(F.col("before").isNull() | (F.col("seq") > F.col("before"))).select(*readings.columns)
+
+
+def read_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """``(city, values, seq, ...)`` as of the last completed micro-batch, from the state store.
+
+    Readable while the stream runs. Files are opened by state partition, however
+    many micro-batches there have been.
+    """
+    kept = spark.read.format("statestore").load(checkpoint)
+    return kept.select("key.city", *[f"value.groupState.{n}" for n in STATE.names])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -15,10 +15,10 @@ from ..operators import history as H
 from ..operators import messages, scoring
 from ..operators.rolling import WINDOW_SIZE, check_window
 from ..operators.skew import SPLIT_ROWS
-from ..operators.status import STATUS_COLUMNS, latest_reading
+from ..operators.status import STATUS_COLUMNS
 from ..schemas import MEASUREMENT, STATUS, TOPIC_RECORD
-from ..sources import tables
-from .carry import CARRY, carried_values
+from ..sources import files, tables
+from .carry import CARRY, carried_values, new_readings, read_state
 
 SCORED = T.StructType(
     [
@@ -57,10 +57,6 @@ class Tables:
     def outcomes(self) -> str:
         return f"{self.root}/outcomes"
 
-    @property
-    def status(self) -> str:
-        return f"{self.root}/status"
-
     @property
     def history(self) -> str:
         return f"{self.root}/history"
@@ -91,16 +87,6 @@ def monitored(records: DataFrame, size: int) -> DataFrame:
     )
 
 
-def current_status(latest: DataFrame, carry: DataFrame) -> DataFrame:
-    """Status rows from each city's last reading and its values so far."""
-    ema = carry.select("city", ema_of_array(F.col("values")).alias("ema"))
-    return (
-        latest.withColumnRenamed("aqi", "currentAqi")
-        .join(ema, "city")
-        .select(*STATUS_COLUMNS)
-    )
-
-
 def write_monitored(
     batch: DataFrame,
     batch_id: int,
@@ -116,8 +102,8 @@ def write_monitored(
     batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         records = batch.where(F.col("carry").isNull())
-        readings = messages.readings(records)
         carry = batch.where(F.col("carry").isNotNull()).select("carry.*")
+        readings = new_readings(messages.readings(records), carry).persist(StorageLevel.MEMORY_AND_DISK)
         carried = carry.select("city", F.posexplode("carried").alias("seq", "aqi"))
 
         scored = scoring.score(readings, size, carried, split_rows)
@@ -125,10 +111,10 @@ def write_monitored(
         # the written scores, so that nothing is averaged twice
         scored = tables.read_batch(spark, out.scored, batch_id, SCORED)
         tables.write_batch(scoring.outcomes(scored, threshold, multiplier), out.outcomes, batch_id)
-        tables.write_batch(current_status(latest_reading(readings), carry), out.status, batch_id)
-        tables.write_batch(messages.undecodable(records), out.rejects, batch_id)
-        tables.write_batch(H.insert_rejects(readings), out.insert_rejects, batch_id)
+        tables.write_batch(messages.undecodable(records).hint("rebalance"), out.rejects, batch_id)
+        tables.write_batch(H.insert_rejects(readings).hint("rebalance"), out.insert_rejects, batch_id)
         tables.append_history(readings, out.history, batch_id)
+        readings.unpersist()
     finally:
         batch.unpersist()
 
@@ -163,25 +149,25 @@ def run_monitor(
     )
 
 
-def status_now(status: DataFrame, city: str | None = None) -> DataFrame:
-    """Newest status of one city or of all, while the stream runs or after it.
+def status_now(spark: SparkSession, root: str, city: str | None = None) -> DataFrame:
+    """Current status of one city or of all, while the stream runs or after it.
 
-    ``status`` is the monitor's status table: one row per city and micro-batch.
+    Read from the keyed state as of the last completed micro-batch; empty before the first.
     """
+    out = Tables(root)
+    if not files.names(spark, f"{out.checkpoint}/commits"):
+        return spark.createDataFrame([], STATUS)
+    state = read_state(spark, out.checkpoint)
     if city is not None:
-        status = status.where(F.col("city") == city)
-    rest = STATUS_COLUMNS[1:]
-    return (
-        status.groupBy("city")
-        .agg(F.max_by(F.struct(*rest), "batch_id").alias("_last"))
-        .select("city", *[f"_last.{c}" for c in rest])
+        state = state.where(F.col("city") == city)
+    return state.select(
+        "city",
+        F.element_at("values", -1).alias("currentAqi"),
+        ema_of_array(F.col("values")).alias("ema"),
+        *STATUS_COLUMNS[3:],
     )
 
 
-def read_status(spark, root: str) -> DataFrame:
-    return tables.read_table(spark, Tables(root).status, STATUS)
-
-
 def read_scored(spark, root: str) -> DataFrame:
     return tables.read_table(spark, Tables(root).scored, SCORED)
 

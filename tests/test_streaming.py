@@ -68,11 +68,76 @@ def test_history_equals_batch(spark, finished):
 
 def test_status_equals_batch(spark, finished):
     root, rows = finished
-    got = monitor.status_now(monitor.read_status(spark, root)).collect()
+    got = monitor.status_now(spark, root).collect()
     want = status.city_status(readings(spark, rows)).collect()
     assert sorted(got) == sorted(want)
-    one = monitor.status_now(monitor.read_status(spark, root), "hot").collect()
+    one = monitor.status_now(spark, root, "hot").collect()
     assert one == [r for r in want if r.city == "hot"]
+    assert monitor.status_now(spark, root, "nowhere").collect() == []
+
+
+def test_status_before_the_first_batch_is_empty(spark, tmp_path):
+    assert monitor.status_now(spark, str(tmp_path)).collect() == []
+
+
+def test_status_lookup_reads_state_not_batches(spark, tmp_path):
+    """As many state partitions are read after six micro-batches as after one, while batch tables grow."""
+    landing, root = str(tmp_path / "topic"), str(tmp_path / "out")
+    tasks = []
+    for i in range(6):
+        topic.write_files(readings(spark, [reading(i, "a", 10 + i)]), landing)
+        run(spark, landing, root)
+        found = monitor.status_now(spark, root, "a")
+        tasks.append(found.rdd.getNumPartitions())
+        assert [(r.currentAqi, r.timestamp) for r in found.collect()] == [(10 + i, 1600000000)]
+    assert len(set(tasks)) == 1
+    assert len(list((tmp_path / "out" / "scored").glob("batch_id=*"))) == 6
+
+
+def test_repeated_readings_count_once(spark, tmp_path):
+    """A publisher that sends a batch again leaves scores, outcomes, history and status as they are."""
+    landed, root = str(tmp_path / "landed"), str(tmp_path / "out")
+    reg = spark.createDataFrame([(0, "a", None, None, True, None), (1, "b", None, None, True, None)], REGISTRY)
+    body = '{{"status":"ok","data":{{"aqi":{0},"time":{{"v":{0}}}}}}}'
+    values = [5, 9, 200, 7, 1, 80, 3, 150, 160, 2, 4, 6]
+
+    def twice(events, batch_id):  # a batch that is repeated after it was published
+        for _ in range(2):
+            topic.write_files(events, str(tmp_path / "topic"))
+
+    for i in range(3):
+        rows = [(n, "ab"[n % 2], 200, body.format(v)) for n, v in list(enumerate(values))[i * 4 : i * 4 + 4]]
+        spark.createDataFrame(rows, RESPONSE).write.mode("append").parquet(landed)
+        polled = stream_responses(spark, landed, "parquet")
+        poller.run_poller(polled, str(tmp_path / "poller"), lambda session: reg, publish=twice).awaitTermination()
+        if i != 1:  # the second batch reaches the monitor with the third
+            run(spark, str(tmp_path / "topic"), root)
+    topic.write_files(readings(spark, [reading(1, "b", 9, timestamp=9)]), str(tmp_path / "topic"))  # long after
+    run(spark, str(tmp_path / "topic"), root)
+    got = {r.seq: (r.ema_before, r.ema_after) for r in monitor.read_scored(spark, root).collect()}
+    assert got == brute_force([(n, "ab"[n % 2], v) for n, v in enumerate(values)], 10)
+    assert monitor.read_scored(spark, root).count() == len(values)
+    assert tables.read_history(spark, monitor.Tables(root).history).count() == len(values)
+    assert {r.city: (r.currentAqi, r.timestamp) for r in monitor.status_now(spark, root).collect()} == {"a": (4, 4), "b": (6, 6)}
+
+
+def test_kafka_records_keep_the_publishers_number_and_order(spark):
+    rows = [reading(n, f"c{n % 5}", n) for n in (7, 3, 11, 30, 2, 12, 8, 40)]
+    sent = topic.to_kafka(readings(spark, rows))
+    parts = sent.rdd.glom().collect()
+    seen = {}
+    for number, part in enumerate(parts):
+        for r in part:
+            seen.setdefault(r.key, []).append((number, int(r.headers[0].value)))
+    for numbers in seen.values():
+        assert len({part for part, _ in numbers}) == 1 and numbers == sorted(numbers)
+    other = spark.createDataFrame([("k", "v")], "key string, value string").selectExpr("key", "value", "null AS headers")
+    taken = sent.unionByName(other).selectExpr(
+        "cast(key as binary) key", "cast(value as binary) value", "headers", "3 AS partition", "5L AS offset"
+    )
+    got = topic.from_kafka(taken).collect()
+    assert sorted(r.seq for r in got) == sorted([7, 3, 11, 30, 2, 12, 8, 40, (3 << topic.OFFSET_BITS) + 5])
+    assert {r.value for r in got} == {r.value for r in sent.collect()} | {"v"}
 
 
 def test_rejects_are_set_aside(spark, finished):
@@ -88,7 +153,7 @@ def test_repeated_batch_changes_nothing(spark, finished):
     def content():
         return [
             sorted(map(str, spark.read.parquet(p).collect()))
-            for p in (out.scored, out.outcomes, out.status, out.history, out.rejects)
+            for p in (out.scored, out.outcomes, out.history, out.rejects)
         ]
 
     before = content()
@@ -99,14 +164,13 @@ def test_repeated_batch_changes_nothing(spark, finished):
         queues.setdefault(row[1], []).append(row[2])
     carry = []
     for city in {r[1] for r in rows[162:]}:
-        old = queues.get(city, [])[-10:]
-        new = [r[2] for r in rows[162:] if r[1] == city]
-        carry.append((city, old, (old + new)[-10:]))
-    state = spark.createDataFrame(carry, "city string, carried array<int>, values array<int>")
+        last = max((r[0] for r in rows[:162] if r[1] == city), default=None)
+        carry.append((city, queues.get(city, [])[-10:], last))
+    state = spark.createDataFrame(carry, "city string, carried array<int>, before long")
     batch = records.selectExpr(
-        "*", "cast(null as struct<city string, carried array<int>, values array<int>>) carry"
+        "*", "cast(null as struct<city string, carried array<int>, before long>) carry"
     ).unionByName(
-        state.selectExpr("struct(city, carried, values) carry"), allowMissingColumns=True
+        state.selectExpr("struct(city, carried, before) carry"), allowMissingColumns=True
     )
     monitor.write_monitored(batch, 2, out, split_rows=20)
     assert content() == before
