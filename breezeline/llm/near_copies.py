@@ -226,9 +226,19 @@ def near_copies(
 
     star = shared.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     star = landed(measured(star))
-    best = star.where("may").groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a"))
-    links = confirmed(best.select("a", "b"))
+    best = star.where("may").groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b")
+    links = confirmed(best)
     group = components(links)
+    # the other leaders of a node, where that would join two components
+    label = group.withColumnRenamed("component", "label")
+    others = star.where("may").select("a", "b").join(best, ["a", "b"], "left_anti")
+    others = others.join(label.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left")
+    others = others.join(label.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
+    apart = F.coalesce("la", "a") != F.coalesce("lb", "b")
+    others = landed(others.where(apart).select("a", "b"))
+    if not others.isEmpty():
+        links = landed(links.unionAll(confirmed(others)).distinct())
+        group = components(links)
     tested = None
     for last in (False, True):
         pairs = _across(star, links, group.withColumnRenamed("component", "label"), sketches, percent)
