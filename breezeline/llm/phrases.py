@@ -7,7 +7,7 @@ reaches the threshold survives, whatever else is dropped; two equal hashes only
 let more survive. Survivors set bits of a filter of fixed size.
 
 Second pass: the n-grams that the filter lets through are counted exactly, as
-text. The filter has ``FILTER_BITS`` whatever the input, so it may be broadcast;
+text. The filter has ``_filter.BITS`` whatever the input, so it may be broadcast;
 the more n-grams are frequent, the more infrequent ones it lets through, which
 costs time and changes no result, since the exact counts decide.
 """
@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import _filter
 from . import _words as W
 from ._graph import landed
 
 LONGEST = 4  # words of a phrase
-FILTER_BITS = 1 << 27
 SPARE = 8  # counters of a summary, as a multiple of mass / threshold
 PART_BYTES = 8 << 20  # text whose n-grams meet in one hash partition
 LEAST_PARTS = 16
@@ -135,10 +135,8 @@ class Summary:
         return self.keys[self.counts + self.missed >= threshold]
 
 
-def _place(part, keys: np.ndarray, size: int) -> np.ndarray:
-    """Bit of the filter, from 1 on."""
-    mixed = W.mix(keys.astype(np.uint64) ^ (np.asarray(part).astype(np.uint64) << np.uint64(32)))
-    return (mixed % np.uint64(size)).astype(np.int64) + 1
+def _named(part, keys: np.ndarray) -> np.ndarray:
+    return keys.astype(np.uint64) ^ (np.asarray(part).astype(np.uint64) << np.uint64(32))
 
 
 def _summary(threshold: int, filter_size: int):
@@ -156,7 +154,8 @@ def _summary(threshold: int, filter_size: int):
             if held >= CHUNK or i == len(sent) - 1:
                 summary.merge(np.concatenate(keys), np.concatenate(counts))
                 keys, counts, held = [], [], 0
-        return pa.table({"place": _place(columns["part"][0], summary.survivors(threshold), filter_size)})
+        found = _named(columns["part"][0], summary.survivors(threshold))
+        return pa.table({"place": _filter.places(found, filter_size)})
 
     return run
 
@@ -171,8 +170,7 @@ def _counter(parts: int, filter_bits):
             width = len(texts)
             rows = [(names[i], 0, b"", n) for i, n in enumerate(np.bincount(lang, minlength=len(names)).tolist())]
             for n, (first, hashes) in enumerate(grams, 1):
-                place = _place(_part(hashes, parts), hashes.astype(np.uint32), 8 * len(bits)) - 1
-                first = first[(bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1]
+                first = first[_filter.holds(bits, _named(_part(hashes, parts), hashes.astype(np.uint32)))]
                 kind = lang[first]
                 for j in range(n):  # numbers of equal beginnings, exactly
                     _, at, kind, times = np.unique(
@@ -193,7 +191,7 @@ def _counter(parts: int, filter_bits):
 
 
 def frequent_phrases(
-    docs: DataFrame, lang_col: str = "lang", text_col: str = "text", threshold: int = 30, filter_size: int = FILTER_BITS
+    docs: DataFrame, lang_col: str = "lang", text_col: str = "text", threshold: int = 30, filter_size: int = _filter.BITS
 ) -> DataFrame:
     """(lang, words, phrase, f): every phrase of up to ``LONGEST`` words with f >= ``threshold``.
 
@@ -210,14 +208,7 @@ def frequent_phrases(
     parts = max(LEAST_PARTS, math.ceil(size / PART_BYTES))
     sent = texts.mapInArrow(_sender(parts), MESSAGE)
     places = sent.groupBy("part").applyInArrow(_summary(threshold, filter_size), "place long")
-    bitmaps = places.groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")
-    )
-    bits = np.zeros(filter_size // 8, np.uint8)
-    for bucket, held in bitmaps.collect():  # filter_size / 32768 rows of 4 KB at most
-        at = (bucket - 1) * len(held)
-        bits[at : at + len(held)] = np.frombuffer(held, np.uint8)
-    filter_bits = spark.sparkContext.broadcast(bits.tobytes())
+    filter_bits = spark.sparkContext.broadcast(_filter.gathered(places, filter_size))
     counted = texts.mapInArrow(_counter(parts, filter_bits), COUNTED)
     total = counted.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
     return landed(total.where((F.col("words") == 0) | (F.col("f") >= threshold)))

@@ -5,7 +5,10 @@ windows inside a 13-word window, the one with the least hash stands for it, so
 equal windows have equal stand-ins. Where a stand-in is repeated in another
 document, and only there, the window is extended to twice the length (7 + 7
 words, one shared) and compared again. Levels double until ``length`` is reached;
-once no candidate survives, the later ones have no rows.
+once no candidate survives, the later ones have no rows. The repeated stand-ins
+reach the texts as a bitmap of fixed size, so that no text is moved between
+levels. It may let others through, which the next level finds out; where it would
+be too full to part many, the stand-ins go to their texts by a join instead.
 
 Hashes travel packed by hash range. Of a map batch, only the smallest document
 with a hash is sent to meet the other batches; the verdict on its other holders
@@ -25,15 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _filter
 from . import _words as W
 
 SHORTEST = 6  # words; levels below this length would repeat by chance
 PART_BYTES = 8 << 20  # text whose windows meet in one task
 LEAST_PARTS = 64
 FLUSH_BYTES = 32 << 20  # text gathered before a message is sent
+FULL = 0.25  # share of the bitmap's bits beyond which stand-ins are joined with their texts
 
 MESSAGE = "part long, ids binary, counts binary, hashes binary, more binary"
-_SECOND = np.uint64(0xD6E8FEB86659FD93)
+_SECOND = np.uint64(0xD6E8FEB86659FD93)  # for hashes of hashes
 
 
 def levels(length: int) -> list[int]:
@@ -112,28 +117,31 @@ def _messages(ids, hashes, parts, extra, last):
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
 
-def _sender(level, before, length, parts, width):
-    """Map side of a level; ``before`` is the level whose survivors come as marks."""
+def _sender(level, before, length, parts, width, known=None):
+    """Map side of a level; ``before`` is the level whose survivors come as marks, or as the bitmap ``known``."""
     last = level == length
 
     def run(batches):
         held, size = [], 0
+        bits = np.frombuffer(known.value, np.uint8) if known else None
         for batch in batches:
             ids = batch.column(0)
-            marks = batch.column(2) if before else None
+            marks = batch.column(2) if before and not known else None
             for low, high, data, offsets in W.pieces(batch.column(1)):
                 words = W.Words(data, offsets)
                 hashes = words.hashes()
                 starts, each = W.window_starts(words, length)
                 names = np.repeat(ids.slice(low, high - low).fill_null(0).to_numpy(), each)
                 keep = np.repeat(ids.slice(low, high - low).is_valid().to_numpy(zero_copy_only=False), each)
-                if before:
+                if known:
+                    keep &= _filter.holds(bits, _stand_ins(hashes, before, length)[starts])
+                elif before:
                     keep &= _surviving(words, hashes, starts, each, marks, low, before, length)
                 starts, names = starts[keep], names[keep]
                 stand = _stand_ins(hashes, level, length)[starts]
                 extra = np.zeros((len(stand), width), np.uint8)
                 if width and len(stand):
-                    other = W.windows(hashes ^ _SECOND, level)[starts]
+                    other = W.windows(words.hashes(key=1), level)[starts]
                     extra = other.view(np.uint8).reshape(-1, 8)[:, :width]
                 if not last:  # neighbours mostly share their stand-in
                     new = np.ones(len(stand), bool)
@@ -180,6 +188,16 @@ def _judge(parts, width, last):
     return run
 
 
+def _repeated(judge, size):
+    """Reduce side of a level before the last: the bits of the hashes that are repeated."""
+
+    def run(table):
+        marks = judge(table).column("marks").to_pylist()
+        return pa.table({"place": _filter.places(np.unique(np.frombuffer(b"".join(marks), np.uint64)), size)})
+
+    return run
+
+
 def _cleaner(length):
     def run(batches):
         for batch in batches:
@@ -209,7 +227,13 @@ def _cleaner(length):
     return run
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 13) -> DataFrame:
+def without_repeats(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    length: int = 13,
+    filter_size: int = _filter.BITS,
+) -> DataFrame:
     """(id, n_words, n_removed, kept_text) for every row of ``docs``.
 
     A word goes if a window of ``length`` words covers it whose words also start
@@ -224,14 +248,19 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(LEAST_PARTS, math.ceil(size / PART_BYTES))
     bits = 2 * math.log2(max(size / 2, 2)) + 10
-    before, marked = None, texts
+    before, marked, known = None, texts, None
     for level in levels(length):
         last = level == length
         width = min(8, max(0, math.ceil((bits - 64) / 8))) if last else 0
-        sent = marked.mapInArrow(_sender(level, before, length, parts, width), MESSAGE)
-        judged = sent.groupBy("part").applyInArrow(_judge(parts, width, last), "id long, marks binary")
+        sent = marked.mapInArrow(_sender(level, before, length, parts, width, known), MESSAGE).groupBy("part")
+        before, known = level, None
+        if not last:
+            found = _filter.gathered(sent.applyInArrow(_repeated(_judge(parts, width, last), filter_size), "place long"), filter_size)
+            if np.bitwise_count(np.frombuffer(found, np.uint8)).sum(dtype=np.int64) <= FULL * filter_size:
+                marked, known = texts, docs.sparkSession.sparkContext.broadcast(found)
+                continue
+        judged = sent.applyInArrow(_judge(parts, width, last), "id long, marks binary")
         marks = judged.groupBy("id").agg(F.collect_list("marks").alias("marks"))
         marked = texts.join(marks, "id", "inner" if not last else "left").select("id", "text", "marks")
-        before = level
     out = marked.mapInArrow(_cleaner(length), "id long, n_words long, n_removed long, kept_text string")
     return out.withColumnRenamed("id", id_col)
