@@ -30,13 +30,15 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PACK_BYTES = 24 << 20  # text of a pack; a longer text is a pack of its own
+from ._memory import lean
+
+PACK_BYTES = 10 << 20  # text of a pack; a longer text is a pack of its own
 COMMON = 200_000  # words of the cache
 COMMON_DOCS = 20_000  # documents, as many as are expected, that the cache's words are counted in
 LONG = 256  # bytes; longer words are merged with a heap, as a fold over them would be quadratic
 
 PACK = (
-    "ids array<long>, sizes array<int>, places binary, known array<int>, longs array<array<int>>,"
+    "ids array<long>, kept array<long>, sizes array<int>, places binary, known array<int>, longs array<array<int>>,"
     " words array<array<int>>, shift array<int>, pairs array<long>"
 )
 
@@ -201,7 +203,7 @@ def _common_words(texts: DataFrame, path: str, pattern: str, table) -> dict[str,
 def _packer(path, pattern, table, cache):
     split = regex.compile(pattern).findall
 
-    def pack(ids, rows, words, ranks):
+    def pack(ids, kept, rows, words, ranks):
         common = cache.value
         known, short, longs = np.full(len(words), -1, np.int32), [], []
         for i, word in enumerate(words):
@@ -221,7 +223,7 @@ def _packer(path, pattern, table, cache):
         sizes = np.array([len(r) for r in rows], np.int32)
         places = np.concatenate(rows) if rows else np.zeros(0, np.uint32)
         values = [
-            pa.array([ids], pa.list_(pa.int64())), _one_row(pa.array(sizes)), pa.array([places.tobytes()], pa.binary()),
+            pa.array([ids], pa.list_(pa.int64())), pa.array([kept], pa.list_(pa.int64())), _one_row(pa.array(sizes)), pa.array([places.tobytes()], pa.binary()),
             _one_row(pa.array(known)), pa.array([longs], pa.list_(pa.list_(pa.int32()))),
             _one_row(_byte_tokens(short, ranks)), _one_row(pa.array(shift)), _one_row(pa.array(pairs)),
         ]
@@ -229,22 +231,23 @@ def _packer(path, pattern, table, cache):
 
     def run(batches):
         ranks = read_ranks(path)
-        ids, rows, size, words = [], [], 0, {}
+        ids, kept, rows, size, words = [], [], [], 0, {}
         chunks = _Numbers(words, split)
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                for row, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                for row, text, extra in zip(*(part.column(c).to_pylist() for c in range(3))):
                     text = text or ""
                     ids.append(row)
+                    kept.append(extra)
                     rows.append(np.array(chunks.of_text(text), np.uint32))
                     size += len(text)
                     if size >= PACK_BYTES:
-                        yield pack(ids, rows, words, ranks)
-                        ids, rows, size, words = [], [], 0, {}
+                        yield pack(ids, kept, rows, words, ranks)
+                        ids, kept, rows, size, words = [], [], [], 0, {}
                         chunks = _Numbers(words, split)
         if ids:
-            yield pack(ids, rows, words, ranks)
+            yield pack(ids, kept, rows, words, ranks)
 
     return run
 
@@ -255,7 +258,7 @@ def _unpacker(path, decoded):
         for batch in _unpacked(batches):
             if decoded:
                 batch = pa.RecordBatch.from_arrays(
-                    [*batch.columns, _joined(batch.column(1), pieces)], names=["id", "tokens", "decoded"]
+                    [*batch.columns, _joined(batch.column(2), pieces)], names=["id", "kept", "tokens", "decoded"]
                 )
             yield batch
 
@@ -274,14 +277,14 @@ def _unpacked(batches):
     for batch in batches:
         for i in range(batch.num_rows):
             row = batch.slice(i, 1)
-            ids, sizes, known = (row.column(c).flatten() for c in (0, 1, 3))
-            places = np.frombuffer(row.column(2)[0].as_buffer(), np.uint32)
+            ids, kept, sizes, known = (row.column(c).flatten() for c in (0, 1, 2, 4))
+            places = np.frombuffer(row.column(3)[0].as_buffer(), np.uint32)
             known, sizes = known.to_numpy(), sizes.to_numpy()
             count = np.ones(len(known), np.int64)
             tokens = [known]
             start = np.arange(len(known))
             at = len(known)
-            for mark, column in ((-2, 4), (-1, 5)):
+            for mark, column in ((-2, 5), (-1, 6)):
                 lists = row.column(column).flatten()
                 ends = np.diff(lists.offsets.to_numpy())
                 flat = lists.flatten().to_numpy()
@@ -300,7 +303,8 @@ def _unpacked(batches):
                 index = np.repeat(start[part] - ends[:-1], each) + np.arange(ends[-1])
                 offsets = ends[stop[low : high + 1] - stop[low]].astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens[index]))
-                yield pa.RecordBatch.from_arrays([ids.slice(low, high - low), lists], names=["id", "tokens"])
+                cells = [ids.slice(low, high - low), kept.slice(low, high - low), lists]
+                yield pa.RecordBatch.from_arrays(cells, names=["id", "kept", "tokens"])
                 low = high
 
 
@@ -329,7 +333,13 @@ def _folded(word: Column, shift: Column, pairs: Column) -> Column:
 
 
 def encode(
-    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False
+    docs: DataFrame,
+    path: str,
+    pattern: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    decoded: bool = False,
+    keep: str | None = None,
 ) -> DataFrame:
     """(id, tokens) for every row of ``docs``: the ids that the rank file's encoding gives the text.
 
@@ -338,17 +348,21 @@ def encode(
     ``pattern`` is encoded by itself, without special tokens. Null and empty
     texts have no tokens. Rows may repeat and ids may be null; other columns
     are ignored; an empty table gives an empty result. With ``decoded``, the
-    column decoded has the bytes that ``decode`` would make of the tokens.
+    column decoded has the bytes that ``decode`` would make of the tokens. ``keep``
+    names a column of whole numbers that comes out beside the id.
     """
     share = docs.sparkSession.sparkContext.broadcast
     table = share(pair_table(path))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    kept = (F.col(keep) if keep else F.lit(None)).cast("long").alias("kept")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), kept)
     cache = share(_common_words(texts, path, pattern, table))
-    packs = texts.mapInArrow(_packer(path, pattern, table, cache), PACK)
+    packs = texts.mapInArrow(lean(_packer(path, pattern, table, cache)), PACK)
     merged = F.transform("words", lambda word: _folded(word, F.col("shift"), F.col("pairs")))
-    packs = packs.select("ids", "sizes", "places", "known", "longs", merged.alias("words"))
-    kind = "id long, tokens array<int>" + ", decoded binary" * decoded
-    return packs.mapInArrow(_unpacker(path, decoded), kind).withColumnRenamed("id", id_col)
+    packs = packs.select("ids", "kept", "sizes", "places", "known", "longs", merged.alias("words"))
+    kind = "id long, kept long, tokens array<int>" + ", decoded binary" * decoded
+    out = packs.mapInArrow(lean(_unpacker(path, decoded)), kind)
+    out = out.withColumnRenamed("kept", keep) if keep else out.drop("kept")
+    return out.withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, path: str, tokens_col: str = "tokens", into: str = "decoded") -> DataFrame:

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from . import _words as W
 from ._graph import components, landed
+from ._memory import lean
 
 BANDS, ROWS = 64, 6
 SKETCHED = BANDS * ROWS  # samples in the bitmap
@@ -183,7 +184,7 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int,
     out = pairs.join(wanted.select(F.col("id").alias("left_id"), F.col("text").alias("left_text")), "left_id")
     out = out.join(wanted.select(F.col("id").alias("right_id"), F.col("text").alias("right_text")), "right_id")
     out = out.select("a", "b", "left_key", "right_key", "left_text", "right_text")
-    return landed(out.mapInArrow(_alike(size, percent), "a long, b long").distinct())
+    return landed(out.mapInArrow(lean(_alike(size, percent)), "a long, b long").distinct())
 
 
 def near_copies(
@@ -199,7 +200,7 @@ def near_copies(
     an empty table gives an empty result.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    marks = landed(texts.mapInArrow(_signatures(size), SIGNATURE))
+    marks = landed(texts.mapInArrow(lean(_signatures(size)), SIGNATURE))
     whole = marks.where("id is not null and n_shingles > 0")
     rest = [F.first(c).alias(c) for c in ("n_shingles", "bands", *BITMAPS)]
     nodes = whole.groupBy("k1", "k2").agg(F.min("id").alias("id"), *rest)

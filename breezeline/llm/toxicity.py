@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
+from ._memory import lean
 
 TOXIC_ROWS, CLEAN_ROWS = 2000, 4000  # labelled rows at most that the network is trained on
 TRAIN_BYTES = 20_000  # longer labelled texts are not trained on (all are scored whole)
@@ -328,4 +329,4 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             mark = np.concatenate(marks) if marks else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(mark, pa.float64())], names=[*columns, "score"])
 
-    return out.mapInArrow(run, out.withColumn("score", F.lit(0.0).cast("double")).schema)
+    return out.mapInArrow(lean(run), out.withColumn("score", F.lit(0.0).cast("double")).schema)
