@@ -2,7 +2,14 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that the one before
 kept. Its result is written as Parquet below the shared folder and read again.
-All stages but the last return the columns of documents.
+All stages but the last return the columns of documents. The order that the
+mixing stage gives the documents is the order of the files and rows it is written
+in; the last stage reads it from there and carries it as a column.
+
+Null and empty texts are clean, are copies of nothing, hold no personal data and
+have no tokens. Rows of one doc_id are kept or dropped together. An empty table
+gives empty results; further columns of documents pass through all stages but
+the last.
 """
 
 from __future__ import annotations
@@ -15,6 +22,7 @@ from breezeline.session import work_dir
 
 TOXIC_FROM = 0.7
 BROADCAST_IDS = 2_000_000  # more ids than this are joined by a shuffle
+ROW_BITS = 40  # of a position; the bits above are the file's part
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,18 +50,32 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def in_mixed_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order that interleaves their sources to the target weights."""
+    """All documents, range by range in the order that interleaves their sources to the target weights."""
     return mixing.in_order(mixing.mixed(docs)).select(*docs.columns)
 
 
+def in_written_order(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``position``, which grows in the order of the files' parts and their rows; null if read from no files."""
+    if not docs.inputFiles():
+        return docs.withColumn("position", F.lit(None).cast("long"))
+    part = F.regexp_extract(F.col("_metadata.file_name"), "part-([0-9]+)", 1).try_cast("long")
+    place = F.shiftleft(part, ROW_BITS) + F.col("_metadata.row_index")
+    return docs.select(*docs.columns, place.alias("position"))
+
+
 def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, tokens, decoded_sha256) of every document."""
+    """(doc_id, position, n_tokens, tokens, decoded_sha256) of every document; sorted by position they are in mixed order."""
     import public_tokenizers
 
     path = bpe.default_path(spark)
-    coded = bpe.encode(docs, path, public_tokenizers.PATTERN, decoded=True)
+    placed = in_written_order(docs)
+    coded = bpe.encode(placed, path, public_tokenizers.PATTERN, decoded=True, keep="position")
     return coded.select(
-        "doc_id", F.size("tokens").cast("long").alias("n_tokens"), "tokens", F.sha2("decoded", 256).alias("decoded_sha256")
+        "doc_id",
+        "position",
+        F.size("tokens").cast("long").alias("n_tokens"),
+        "tokens",
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 
@@ -65,7 +87,7 @@ STAGES = [
     ("bpe", as_tokens),
 ]
 
-#: SQL cannot express the trained, merged and scheduled stages; tests hold run() against brute force.
+#: SQL cannot express the trained, merged and scheduled stages; the tests check each stage's decisions on run()'s rows.
 ORACLE_SQL = None
 
 
