@@ -58,9 +58,10 @@ def in_written_order(docs: DataFrame) -> DataFrame:
     """``docs`` with ``position``, which grows in the order of the files' parts and their rows; null if read from no files."""
     if not docs.inputFiles():
         return docs.withColumn("position", F.lit(None).cast("long"))
+    others = [c for c in docs.columns if c != "position"]
     part = F.regexp_extract(F.col("_metadata.file_name"), "part-([0-9]+)", 1).try_cast("long")
     place = F.shiftleft(part, ROW_BITS) + F.col("_metadata.row_index")
-    return docs.select(*docs.columns, place.alias("position"))
+    return docs.select(*others, place.alias("position"))
 
 
 def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
