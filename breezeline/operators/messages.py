@@ -29,11 +29,20 @@ def topic_part(key: Column, parts: int = TOPIC_PARTS) -> Column:
 
 
 def _whole(kind: Column, value: Column) -> Column:
-    """An integer, or another number cut toward zero; NULL if that does not fit."""
+    """An integer, or another number cut toward zero; NULL if that does not fit 64 bits.
+
+    A number written with a fraction is cut digit by digit, so that none is lost; one written
+    with an exponent, or with more digits than a DECIMAL has, is a double.
+    """
     number = J.double_of(value)
     fits = F.abs(number) < F.lit(float(2**63))
     cut = F.when(fits, F.when(number < 0, F.ceil(number)).otherwise(F.floor(number)))
-    return F.when(kind == "BIGINT", J.long_of(value)).when(J.is_number(kind), cut.cast("long"))
+    digits = F.regexp_extract(J.text_of(value), "^-?[0-9]+", 0).try_cast("long")
+    return (
+        F.when(kind == "BIGINT", J.long_of(value))
+        .when(kind.startswith("DECIMAL"), digits)
+        .when(J.is_number(kind), cut.cast("long"))
+    )
 
 
 def _double(kind: Column, value: Column) -> Column:

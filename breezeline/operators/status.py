@@ -13,6 +13,8 @@ from ..schemas import STATUS
 from .rolling import WINDOW_SIZE, check_window
 
 STATUS_COLUMNS = [f.name for f in STATUS.fields]
+EARLY_RANK = 1000  # up to this rank Spark filters before the shuffle by itself
+SALTS = 64
 
 
 def _status_columns(last: str, ema: Column) -> list[Column]:
@@ -43,9 +45,16 @@ def last_readings(readings: DataFrame, size: int) -> DataFrame:
     """Each city's last ``size`` readings by arrival.
 
     The rank filter is applied before the shuffle as well as after it, so a hot
-    city sends at most ``size`` rows from each map task.
+    city sends at most ``size`` rows from each map task. Beyond ``EARLY_RANK``
+    Spark does not do so; each of ``SALTS`` parts of a city is cut to ``size``
+    first, so that no task sorts more than that many times ``size`` rows of one.
     """
     newest = W.partitionBy("city").orderBy(F.desc("seq"))
+    if size > EARLY_RANK:
+        part = W.partitionBy("city", "_salt").orderBy(F.desc("seq"))
+        salted = readings.withColumn("_salt", F.pmod(F.xxhash64("seq"), F.lit(SALTS)))
+        cut = salted.withColumn("_rank", F.row_number().over(part)).where(F.col("_rank") <= size)
+        readings = cut.drop("_rank", "_salt")
     return (
         readings.withColumn("_rank", F.row_number().over(newest))
         .where(F.col("_rank") <= size)

@@ -11,6 +11,8 @@ from ..functions import times
 from ..operators import history as H
 from ..operators import messages, registry, responses, scoring, status
 from ..schemas import HISTORY, STATUS
+from ..session import work_dir
+from ..sources.registry import read_seed
 from . import inputs, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,6 +89,11 @@ def city_status(spark, sf_dir):
     return status.city_status(inputs.readings(spark, sf_dir))
 
 
+def city_status_wide(spark, sf_dir):
+    """Averages over more values than Spark cuts to before a shuffle by itself."""
+    return status.city_status(inputs.readings(spark, sf_dir), size=1500)
+
+
 def status_of_scored(spark, sf_dir):
     return status.status_of_scored(_scored(spark, sf_dir))
 
@@ -268,6 +275,15 @@ def registry_seed_insert(spark, sf_dir):
     return rows.drop("created_at")
 
 
+def registry_seed_files(spark, sf_dir):
+    """Seed rows from several CSV files: the first of a repeated name wins, by file and line."""
+    path = f"{work_dir(spark)}/seed"
+    rows = inputs.supplier_seed(spark, sf_dir).repartitionByRange(4, "position").sortWithinPartitions("position")
+    rows.drop("position").write.option("header", True).csv(path)
+    added = registry.insert_seed(inputs.registry(spark, sf_dir), read_seed(spark, path))
+    return added.drop("created_at")
+
+
 def registry_reload(spark, sf_dir):
     old = inputs.registry(spark, sf_dir)
     return registry.reload_summary(old, registry.mark_invalid(old, _invalid_names(spark, sf_dir)))
@@ -315,6 +331,7 @@ QUERIES: dict[str, Query] = {
         outcomes,
         alerts_other_limits,
         city_status,
+        city_status_wide,
         status_of_scored,
         status_one,
         status_unknown_city,
@@ -342,6 +359,7 @@ QUERIES: dict[str, Query] = {
         registry_invalidate,
         registry_invalidation_report,
         registry_seed_insert,
+        registry_seed_files,
         registry_reload,
         registry_newest_flags,
         registry_merge,

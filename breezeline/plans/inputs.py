@@ -101,6 +101,11 @@ def seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suppliers.unionByName(customers)
 
 
+def supplier_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suppliers of ``seed`` alone."""
+    return seed(spark, sf_dir).where("continent = 'new'")
+
+
 # Response bodies by event number modulo their count; {a} is the reading's
 # whole value and {e} its time in epoch seconds. None stands for no body.
 BODIES = [

@@ -23,17 +23,15 @@ def read_registry_jdbc(spark: SparkSession, url: str, table: str = "cities", **o
 
 
 def read_seed(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file ``name,country,continent`` with a header.
+    """CSV files ``name,country,continent`` with a header, in the order of their names.
 
-    ``position`` keeps the order of the rows, so that the first of a repeated
-    name wins.
+    ``position`` orders the rows as they are in the files, however Spark splits
+    and gathers these, so that the first of a repeated name wins.
     """
-    return (
-        spark.read.schema(SEED)
-        .option("header", True)
-        .csv(path)
-        .withColumn("position", F.monotonically_increasing_id())
-    )
+    rows = spark.read.schema(SEED).option("header", True).csv(path)
+    # rows of one block are read by one task, one after the other
+    place = F.monotonically_increasing_id().alias("place")
+    return rows.select("*", F.struct("_metadata.file_path", "_metadata.file_block_start", place).alias("position"))
 
 
 def write_registry(registry: DataFrame, path: str) -> None:

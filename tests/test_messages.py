@@ -81,3 +81,12 @@ def test_arrival_number_orders_a_partition(spark):
         topic.arrival_number(df.p, df.a).alias("a"), topic.arrival_number(df.p, df.b).alias("b")
     ).first()
     assert b == a + 1
+
+
+def test_whole_numbers_are_exact(spark):
+    """A fraction is cut off without going through a double; what is beyond 64 bits does not decode."""
+    texts = ["9007199254740993.0", "-9007199254740993.9", "9223372036854775807.5", "9223372036854775808.0", "-0.5", "1e3", "1e30"]
+    rest = {k: v for k, v in GOOD.items() if k != "timestamp"}
+    values = [json.dumps(rest)[:-1] + f', "timestamp": {t}}}' for t in texts]
+    got = {r.seq: r.reading and r.reading.timestamp for r in decoded(spark, *values).collect()}
+    assert [got[i] for i in range(7)] == [9007199254740993, -9007199254740993, 2**63 - 1, None, 0, 1000, None]

@@ -50,3 +50,13 @@ def test_a_body_is_parsed_once(spark):
 def test_small_registry_is_broadcast(spark):
     text = plan(catalog.registry_semi_join(spark, SF_DIR))
     assert "BroadcastHashJoin" in text and "LeftSemi" in text
+
+
+def test_wide_status_cuts_a_hot_city_before_the_last_shuffle(spark):
+    text = plan(status.city_status(inputs.readings(spark, SF_DIR), size=1500))
+    assert "hashpartitioning(city#" in text and "_salt#" in text
+    # read from the bottom: shuffle by city and salt, rank, filter, then shuffle by city
+    order = text.splitlines()[::-1]
+    shuffles = [i for i, line in enumerate(order) if "Exchange hashpartitioning" in line]
+    assert len(shuffles) == 2 and "_salt" in order[shuffles[0]] and "_salt" not in order[shuffles[1]]
+    assert any("Filter" in line and "1500" in line for line in order[shuffles[0] : shuffles[1]])

@@ -84,3 +84,22 @@ def test_snapshot_round_trip(spark, tmp_path):
     write_registry(reg, str(tmp_path / "r"))
     back = read_registry(spark, str(tmp_path / "r"))
     assert sorted(back.collect()) == sorted(reg.collect())
+
+
+def test_seed_rows_keep_the_order_of_files_and_lines(spark, tmp_path):
+    """Large files first, so that Spark gathers splits in another order than that of the names."""
+    lines = {"a.csv": 40, "b.csv": 4000, "c.csv": 900}
+    for n, (name, count) in enumerate(lines.items()):
+        rows = "".join(f"n{i % 50},{name}-{i},x\n" for i in range(n, count))
+        (tmp_path / name).write_text("name,country,continent\n" + rows)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = {r.name: r.country for r in R.seed_rows_to_add(registry(spark), read_seed(spark, str(tmp_path))).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = {}
+    for n, (name, count) in enumerate(lines.items()):
+        for i in range(n, count):
+            want.setdefault(f"n{i % 50}", f"{name}-{i}")
+    assert got == want
