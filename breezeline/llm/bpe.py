@@ -200,7 +200,7 @@ def _common_words(texts: DataFrame, path: str, pattern: str, table) -> dict[str,
     }
 
 
-def _packer(path, pattern, table, cache):
+def _packer(path, pattern, table, cache, pack_bytes):
     split = regex.compile(pattern).findall
 
     def pack(ids, kept, rows, words, ranks):
@@ -242,7 +242,7 @@ def _packer(path, pattern, table, cache):
                     kept.append(extra)
                     rows.append(np.array(chunks.of_text(text), np.uint32))
                     size += len(text)
-                    if size >= PACK_BYTES:
+                    if size >= pack_bytes:
                         yield pack(ids, kept, rows, words, ranks)
                         ids, kept, rows, size, words = [], [], [], 0, {}
                         chunks = _Numbers(words, split)
@@ -340,6 +340,7 @@ def encode(
     text_col: str = "text",
     decoded: bool = False,
     keep: str | None = None,
+    pack_bytes: int = PACK_BYTES,
 ) -> DataFrame:
     """(id, tokens) for every row of ``docs``: the ids that the rank file's encoding gives the text.
 
@@ -349,14 +350,15 @@ def encode(
     texts have no tokens. Rows may repeat and ids may be null; other columns
     are ignored; an empty table gives an empty result. With ``decoded``, the
     column decoded has the bytes that ``decode`` would make of the tokens. ``keep``
-    names a column of whole numbers that comes out beside the id.
+    names a column of whole numbers that comes out beside the id. Smaller packs
+    take less memory and fold more words anew.
     """
     share = docs.sparkSession.sparkContext.broadcast
     table = share(pair_table(path))
     kept = (F.col(keep) if keep else F.lit(None)).cast("long").alias("kept")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), kept)
     cache = share(_common_words(texts, path, pattern, table))
-    packs = texts.mapInArrow(lean(_packer(path, pattern, table, cache)), PACK)
+    packs = texts.mapInArrow(lean(_packer(path, pattern, table, cache, pack_bytes)), PACK)
     merged = F.transform("words", lambda word: _folded(word, F.col("shift"), F.col("pairs")))
     packs = packs.select("ids", "kept", "sizes", "places", "known", "longs", merged.alias("words"))
     kind = "id long, kept long, tokens array<int>" + ", decoded binary" * decoded
