@@ -22,6 +22,7 @@ from breezeline.session import work_dir
 
 TOXIC_FROM = 0.7
 BROADCAST_IDS = 2_000_000  # more ids than this are joined by a shuffle
+PACK_BYTES = 4 << 20  # of text encoded at once, next to what the stages before have left in memory
 ROW_BITS = 40  # of a position; the bits above are the file's part
 
 
@@ -70,7 +71,7 @@ def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     path = bpe.default_path(spark)
     placed = in_written_order(docs)
-    coded = bpe.encode(placed, path, public_tokenizers.PATTERN, decoded=True, keep="position")
+    coded = bpe.encode(placed, path, public_tokenizers.PATTERN, decoded=True, keep="position", pack_bytes=PACK_BYTES)
     return coded.select(
         "doc_id",
         "position",
