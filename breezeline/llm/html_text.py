@@ -5,10 +5,15 @@ after another: where labels agree, elements are merged; runs of one label, or of
 a few in turn, become a repeated group; what only one side has becomes an
 optional group; text that differs becomes a slot, text that never does stays
 constant. The result says of every place how much text it has held. The place
-that holds the article is chosen on the wrapper and then read out of each page.
-
-Wrappers are merged within a map batch first, then in salted groups, then for
-each host, so a host of any size sends small templates only.
+that holds the article is chosen on the wrapper and then read out of each page:
+the one that tags or names mark as the article, or else the lowest that holds
+every slot, so that what varies between pages is never lost and what all pages
+of a host repeat around it is.
+
+Elements may be nested to any depth: trees are walked with stacks, and a place is
+named by the digest of its path. Wrappers are merged within a map batch first,
+then in salted groups, then for each host, so a host of any size sends small
+templates only.
 """
 
 from __future__ import annotations
@@ -16,6 +21,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,9 +30,9 @@ from pyspark.sql import functions as F
 from ._graph import landed
 
 SALTS = 64
-DEPTH = 120  # elements nested deeper are read as if they were not nested further
-BROADCAST_HOSTS = 50_000  # more hosts than this are joined by a shuffle
-CONSTANT_PAGES = 5  # text outside an article that this many pages share is no content
+BROADCAST_BYTES = 64 << 20  # choices of all hosts beyond this are joined by a shuffle
+CONSTANT_PAGES = 5  # a host with fewer pages does not show which text is constant
+SHOWN = 64  # longer texts stand in a wrapper as a digest of all they hold
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -36,6 +42,7 @@ _TOKEN = re.compile(
     r"|[^<]++|<",
     re.S | re.I,
 )
+_CLOSED = re.compile(r"""(?:^|[\s"'])/$""")  # not the end of a value without quotes
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -55,6 +62,8 @@ _ENDS = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
     "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody", "tr", "td", "th"),
 }
+#: elements that the search for the place of the article goes down into
+_CONTAINERS = frozenset("#page html body div section main article center table tbody tr td".split())
 _SCOPE = frozenset("div article section main body ul ol dl table blockquote td th aside nav header footer form".split())
 
 _NOISE = re.compile(
@@ -84,10 +93,15 @@ def _marks(attributes: str) -> str:
 def parse(page: str) -> Element:
     root = Element("#page")
     stack = [root]
+    depth: dict[str, int] = {}  # how many elements of a kind are open
 
     def close(tags, scope):
+        if not any(depth.get(tag) for tag in tags):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in tags:
+                for element in stack[i:]:
+                    depth[element.tag] -= 1
                 del stack[i:]
                 return
             if stack[i].tag in scope:
@@ -110,8 +124,9 @@ def parse(page: str) -> Element:
             close(_ENDS[tag], ("ul", "ol", "dl", "table", "select"))
         element = Element(tag, _marks(m[4]))
         stack[-1].items.append(element)
-        if tag not in _VOID and not m[4].endswith("/") and len(stack) < DEPTH:
+        if tag not in _VOID and not _CLOSED.search(m[4]):
             stack.append(element)
+            depth[tag] = depth.get(tag, 0) + 1
     return root
 
 
@@ -125,20 +140,54 @@ def _is_out(element: Element) -> bool:
 LABEL, OUT, PAGES, REPEATED, OPTIONAL, CHARS, TEXT, CHILDREN = range(8)
 
 
-def _template(element: Element, out: bool = False) -> list:
-    out = out or _is_out(element)
-    children = []
-    for item in element.items:
-        if isinstance(item, str):
-            text = " ".join(item.split())
-            if text:
-                children.append(["#", out, 1, False, False, len(text), text[:200], []])
-        else:
-            children.append(_template(item, out))
-    return [element.label, out, 1, False, False, 0, None, _folded(children)]
+def _digest(text: str) -> str:
+    return blake2b(text.encode("utf-8", "replace"), digest_size=12).hexdigest()
+
+
+def _constant(text: str) -> str:
+    """What stands for a text in a wrapper; equal for equal texts only."""
+    return text if len(text) <= SHOWN else f"{len(text)}:{_digest(text)}"
+
+
+def _below(path: str, label: str) -> str:
+    """The name of the place that a label has below another place."""
+    return _digest(f"{path}/{label}")
+
+
+def _done(task):
+    """The result of a generator that yields generators for their results, to any depth."""
+    tasks, value = [task], None
+    while tasks:
+        try:
+            tasks.append(tasks[-1].send(value))
+            value = None
+        except StopIteration as end:
+            tasks.pop()
+            value = end.value
+    return value
+
 
+def _template(root: Element) -> list:
+    def node(element, out):
+        return [element.label, out or _is_out(element), 1, False, False, 0, None, []]
 
-def _folded(children: list) -> list:
+    whole = node(root, False)
+    waiting, order = [(root, whole)], []
+    while waiting:
+        element, made = waiting.pop()
+        order.append(made)
+        for item in element.items:
+            if not isinstance(item, str):
+                made[CHILDREN].append(node(item, made[OUT]))
+                waiting.append((item, made[CHILDREN][-1]))
+            elif text := " ".join(item.split()):
+                made[CHILDREN].append(["#", made[OUT], 1, False, False, len(text), _constant(text), []])
+    for made in reversed(order):  # children before their parents
+        made[CHILDREN] = _done(_folded(made[CHILDREN]))
+    return whole
+
+
+def _folded(children: list):
     """Runs of one label, or of two or three in turn, as one repeated group."""
     for period in (1, 2, 3):
         done, i = [], 0
@@ -147,10 +196,9 @@ def _folded(children: list) -> list:
             names = [c[LABEL] for c in group]
             j = i + period
             while len(group) == period and [c[LABEL] for c in children[j : j + period]] == names:
-                pages = group[0][PAGES]
-                group = [_merged(a, b) for a, b in zip(group, children[j : j + period])]
-                for g in group:
-                    g[REPEATED], g[PAGES] = True, pages
+                for k in range(period):
+                    group[k] = yield _aligned(group[k], children[j + k], one_page=True)
+                    group[k][REPEATED] = True
                 j += period
             if j > i + period:
                 done += group
@@ -162,12 +210,20 @@ def _folded(children: list) -> list:
     return children
 
 
-def _merged(a: list, b: list) -> list:
-    """One template for both; the labels are equal."""
-    out = [a[LABEL], a[OUT] or b[OUT], a[PAGES] + b[PAGES], a[REPEATED] or b[REPEATED], a[OPTIONAL] or b[OPTIONAL],
-           a[CHARS] + b[CHARS], a[TEXT] if a[TEXT] == b[TEXT] else None, []]
+def _aligned(a: list, b: list, one_page: bool = False):
+    """One template for both; the labels are equal.
+
+    Of a group that one page repeats, the constant text is that of all its members.
+    """
+    if one_page and a[TEXT] is not None and b[TEXT] is not None:
+        text = _constant(a[TEXT] + "\n" + b[TEXT])
+    else:
+        text = a[TEXT] if a[TEXT] == b[TEXT] else None
+    pages = max(a[PAGES], b[PAGES]) if one_page else a[PAGES] + b[PAGES]
+    out = [a[LABEL], a[OUT] or b[OUT], pages, a[REPEATED] or b[REPEATED], a[OPTIONAL] or b[OPTIONAL],
+           a[CHARS] + b[CHARS], text, []]
     xs, ys, i, j = a[CHILDREN], b[CHILDREN], 0, 0
-    children = out[CHILDREN]
+    children = []
 
     def skip(items):
         for item in items:
@@ -175,7 +231,8 @@ def _merged(a: list, b: list) -> list:
 
     while i < len(xs) and j < len(ys):
         if xs[i][LABEL] == ys[j][LABEL]:
-            children.append(_merged(xs[i], ys[j]))
+            both = yield _aligned(xs[i], ys[j], one_page)
+            children.append(both)
             i, j = i + 1, j + 1
             continue
         to_x = next((k for k in range(i, len(xs)) if xs[k][LABEL] == ys[j][LABEL]), None)
@@ -191,55 +248,125 @@ def _merged(a: list, b: list) -> list:
             i, j = i + 1, j + 1
     skip(xs[i:])
     skip(ys[j:])
-    out[CHILDREN] = _folded(children)
+    out[CHILDREN] = yield _folded(children)
     return out
 
 
+def _merged(a: list, b: list) -> list:
+    return _done(_aligned(a, b))
+
+
+def _in_order(template: list):
+    """Every node, parents before children, children in order."""
+    waiting = [template]
+    while waiting:
+        node = waiting.pop()
+        yield node
+        waiting += reversed(node[CHILDREN])
+
+
+def to_json(template: list) -> str:
+    """The nodes in order, each with the number of its children."""
+    return json.dumps([[*node[:CHILDREN], len(node[CHILDREN])] for node in _in_order(template)])
+
+
+def from_json(text: str) -> list:
+    root = [None] * CHILDREN + [[]]
+    open_ = [(root, 1)]
+    for *node, children in json.loads(text):
+        while not open_[-1][1]:
+            open_.pop()
+        parent, left = open_.pop()
+        open_.append((parent, left - 1))
+        node.append([])
+        parent[CHILDREN].append(node)
+        open_.append((node, children))
+    return root[CHILDREN][0]
+
+
 def regular_expression(template: list) -> str:
     """The wrapper as a readable union-free expression; '#' is a text slot."""
-    inner = "".join(map(regular_expression, template[CHILDREN]))
-    if template[LABEL] == "#":
-        body = "#" if template[TEXT] is None else "'" + template[TEXT] + "'"
-    else:
-        body = f"<{template[LABEL]}>{inner}</>"
-    sign = ("+" if template[REPEATED] else "") + ("?" if template[OPTIONAL] else "")
-    return f"({body}){sign}" if sign else body
+
+    def shown(node):
+        if node[LABEL] == "#":
+            body = "#" if node[TEXT] is None else "'" + node[TEXT] + "'"
+        else:
+            parts = []
+            for child in node[CHILDREN]:
+                parts.append((yield shown(child)))
+            body = f"<{node[LABEL]}>{''.join(parts)}</>"
+        sign = ("+" if node[REPEATED] else "") + ("?" if node[OPTIONAL] else "")
+        return f"({body}){sign}" if sign else body
+
+    return _done(shown(template))
 
 
 def choose(template: list) -> dict:
-    """{"main": path of the article, "constant": texts that are no content} of a wrapper."""
-    places, constant = {}, []
+    """Where a wrapper has the article.
 
-    def walk(node, path):
-        """(characters, characters outside links) of content below a node."""
+    {"main": its place, "through": the places above it, "constant": places of links that are the same on all pages}
+    """
+    many = template[PAGES] >= CONSTANT_PAGES
+    label, above, below = {}, {}, {}  # of a place
+    chars: dict[str, int] = {}  # characters of content below a place, those of links by a quarter
+    slots: dict[str, int] = {}  # characters outside links that differ between pages
+    plain: dict[str, int] = {}  # characters outside links
+    links, varying = set(), set()
+    top = _below("", template[LABEL])
+    order = []  # (place, own characters, of slots, outside links)
+    waiting = [(template, "", False)]
+    nodes = []
+    while waiting:
+        node, path, linked = waiting.pop()
         if node[OUT]:
-            return 0
+            continue
         if node[LABEL] == "#":
-            if node[TEXT] is not None and node[PAGES] >= CONSTANT_PAGES and not node[REPEATED]:
-                constant.append(node[TEXT])
-                return 0
-            return node[CHARS]
-        path = f"{path}/{node[LABEL]}"
-        total = sum(walk(c, path) for c in node[CHILDREN])
-        if node[LABEL].split(".")[0] == "a":
-            total //= 4
-        old = places.get(path, (0, node[LABEL]))
-        places[path] = (old[0] + total, node[LABEL])
-        return total
-
-    whole = walk(template, "")
-    best = None
-    for path, (chars, label) in places.items():
-        tag, _, marks = label.partition(".")
+            fixed = many and node[TEXT] is not None and node[PAGES] == template[PAGES]
+            if linked:
+                (links if fixed else varying).add(path)
+            else:
+                plain[path] = plain.get(path, 0) + node[CHARS]
+                slots[path] = slots.get(path, 0) + (0 if fixed else node[CHARS])
+            order.append((path, node[CHARS] // 4 if linked else node[CHARS]))
+            continue
+        place = _below(path, node[LABEL])
+        if place not in label:
+            label[place], above[place] = node[LABEL], path
+            below.setdefault(path, []).append(place)
+            nodes.append(place)
+        linked = linked or node[LABEL].split(".")[0] == "a"
+        for child in node[CHILDREN]:
+            waiting.append((child, place, linked))
+    for path, count in order:
+        chars[path] = chars.get(path, 0) + count
+    for place in reversed(nodes):  # a place is first met after the one above it
+        for counts in (chars, slots, plain):
+            counts[above[place]] = counts.get(above[place], 0) + counts.get(place, 0)
+
+    best, main = None, None
+    for place in nodes:
+        tag, _, marks = label[place].partition(".")
         rank = 3 if tag == "article" else 2 if tag == "main" or "main" in marks.split() else 1 if _CONTENT.search(marks) else 0
-        if rank and chars and chars * 3 >= whole and (best is None or (rank, chars) > best[0]):
-            best = ((rank, chars), path)
-    if best is None:  # the deepest place that holds most of the text
-        deep = [(p.count("/"), p) for p, (chars, label) in places.items()
-                if chars * 10 >= whole * 6 and label.split(".")[0] not in _INLINE | {"p"}]
-        best = (None, max(deep)[1]) if deep else (None, "/#page")
-    explicit = best[0] is not None
-    return {"main": best[1], "constant": [] if explicit else constant}
+        held = chars.get(place, 0)
+        if rank and held and held * 3 >= chars.get(top, 0) and (best is None or (rank, held) > best):
+            best, main = (rank, held), place
+    menus = []
+    if main is None:
+        if slots.get(top):
+            menus = sorted(links - varying)
+        counts = next((c for c in (slots, plain, chars) if c.get(top)), chars)
+        main = top
+        while True:
+            down = [p for p in below.get(main, ()) if counts.get(p, 0) == counts.get(main, 0)]
+            if not counts.get(main) or not down or label[down[0]].split(".")[0] not in _CONTAINERS:
+                break
+            main = down[0]
+    through, place = [], main
+    while place:
+        place = above.get(place, "")
+        if place:
+            through.append(place)
+    return {"main": main, "through": through, "constant": menus}
 
 
 def extract(page: str | None, choice: dict | None = None) -> str:
@@ -250,40 +377,46 @@ def extract(page: str | None, choice: dict | None = None) -> str:
     for own in (choice, None):
         if own is None:
             own = choose(_template(root))
-        blocks = _blocks(root, own["main"], set(own["constant"]))
+        blocks = _blocks(root, own)
         if blocks:
             return "\n".join(blocks)
     return ""
 
 
-def _blocks(root: Element, main: str, constant: set) -> list[str]:
+def _blocks(root: Element, choice: dict) -> list[str]:
+    main, through, constant = choice["main"], set(choice["through"]), set(choice["constant"])
     blocks, line = [], []
+    own = False  # whether the line holds more than links of a menu
 
     def flush():
+        nonlocal own
         text = " ".join("".join(line).split())
         line.clear()
-        if text and text[:200] not in constant:
+        if text and own:
             blocks.append(text)
+        own = False
 
-    def walk(element, path, inside):
-        path = f"{path}/{element.label}"
-        if _is_out(element) or not (inside or main == path or main.startswith(path + "/")):
-            return
-        inside = inside or path == main
-        block = element.tag not in _INLINE
-        if element.tag == "br" and inside:
-            line.append(" ")
-        if block:
+    end = object()
+    waiting = [(root, "", False)]  # (element, text or end of a block; the place it is in; whether that is in the article)
+    while waiting:
+        item, path, inside = waiting.pop()
+        if item is end:
             flush()
-        for item in element.items:
-            if not isinstance(item, str):
-                walk(item, path, inside)
-            elif inside:
+        elif isinstance(item, str):
+            if inside:
                 line.append(item)
-        if block:
-            flush()
-
-    walk(root, "", False)
+                own = own or bool(path not in constant and item.strip())
+        elif not _is_out(item):
+            place = path if inside and not constant else _below(path, item.label)
+            if not (inside or place == main or place in through):
+                continue
+            inside = inside or place == main
+            if item.tag == "br" and inside:
+                line.append(" ")
+            if item.tag not in _INLINE:
+                flush()
+                waiting.append((end, "", False))
+            waiting += [(below, place, inside) for below in reversed(item.items)]
     flush()
     return blocks
 
@@ -303,7 +436,7 @@ def _infer(batches):
                     new = _template(parse(page))
                     wrappers[host] = _merged(wrappers[host], new) if host in wrappers else new
         yield pa.RecordBatch.from_arrays(
-            [pa.array(list(wrappers), pa.string()), pa.array([json.dumps(w) for w in wrappers.values()], pa.string())],
+            [pa.array(list(wrappers), pa.string()), pa.array([to_json(w) for w in wrappers.values()], pa.string())],
             names=["host", "wrapper"],
         )
 
@@ -312,9 +445,9 @@ def _joined(table: pa.Table) -> pa.Table:
     host = table.column("host")[0].as_py()
     whole = None
     for text in sorted(table.column("wrapper").to_pylist()):
-        one = json.loads(text)
+        one = from_json(text)
         whole = one if whole is None else _merged(whole, one)
-    return pa.table({"host": [host], "wrapper": [json.dumps(whole)]})
+    return pa.table({"host": [host], "wrapper": [to_json(whole)]})
 
 
 def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -336,6 +469,9 @@ def main_text(
     into single spaces, character references decoded. Null and empty pages give
     an empty text; a page without the place that its host's wrapper names is
     read by a wrapper of its own; null urls and urls without a host share one.
+    Elements are nested to any depth. Without an article that tags or names mark,
+    blocks of nothing but links that all pages of a host (five or more) share at
+    one place are a menu.
     Rows may repeat and ids may be null; other columns are ignored; an empty
     table gives an empty result.
     """
@@ -343,11 +479,12 @@ def main_text(
 
     def decide(batches):
         for batch in batches:
-            choices = [json.dumps(choose(json.loads(w))) for w in batch.column(1).to_pylist()]
+            choices = [json.dumps(choose(from_json(w))) for w in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(choices, pa.string())], names=["host", "choice"])
 
     choices = landed(wrappers.mapInArrow(decide, "host string, choice string"))
-    few = choices.count() <= BROADCAST_HOSTS
+    size = choices.agg(F.sum(F.octet_length("host") + F.octet_length("choice") + 64)).first()[0] or 0
+    few = size <= BROADCAST_BYTES
     rows = pages.select(
         F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host")
     )
