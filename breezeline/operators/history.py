@@ -16,6 +16,7 @@ from ..functions.times import (
 from ..schemas import HISTORY
 
 HISTORY_COLUMNS = [f.name for f in HISTORY.fields]
+KEY = ["city", "timestamp"]
 MAX_CITY_LENGTH = 64
 DEFAULT_LIMIT = 24
 MIN_LIMIT = 1
@@ -69,10 +70,26 @@ def new_history(readings: DataFrame, existing: DataFrame) -> DataFrame:
     Both sides hold a key once, so the anti join has no hot key. ``existing``
     should already be narrowed to the days of the readings.
     """
-    rows = to_history(keep_first(storable(readings)))
-    return rows.join(existing.select("city", "timestamp"), ["city", "timestamp"], "left_anti").select(
-        *HISTORY_COLUMNS, "date"
-    )
+    return not_yet(first_rows(readings), existing)
+
+
+def first_rows(readings: DataFrame) -> DataFrame:
+    """History rows of readings: storable, first of their key."""
+    return to_history(keep_first(storable(readings)))
+
+
+def not_yet(rows: DataFrame, existing: DataFrame, few: bool = False) -> DataFrame:
+    """The history rows whose key is not in ``existing``.
+
+    ``few`` says that the caller has measured the keys of ``rows`` and found
+    them small enough to broadcast. Then they go to the stored rows, and the
+    taken ones among them, which are no more, come back: no stored row is
+    shuffled, however long the history.
+    """
+    taken = existing.select(*KEY)
+    if few:
+        taken = F.broadcast(taken.join(F.broadcast(rows.select(*KEY)), KEY, "left_semi"))
+    return rows.join(taken, KEY, "left_anti").select(*HISTORY_COLUMNS, "date")
 
 
 def duplicates(readings: DataFrame, existing: DataFrame | None = None) -> DataFrame:

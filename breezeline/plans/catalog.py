@@ -368,6 +368,7 @@ QUERIES: dict[str, Query] = {
         topic_rejects,
         streams.stream_outcomes,
         streams.stream_history,
+        streams.stream_history_one,
         streams.stream_status,
         streams.stream_status_one,
         streams.stream_repeated_outcomes,

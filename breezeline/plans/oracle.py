@@ -485,6 +485,9 @@ ORACLE["registry_seed_files"] = ORACLE["registry_seed_insert"].replace(
     "UNION ALL SELECT c_custkey, CAST(c_custkey AS VARCHAR), 'taken', 'taken' FROM customer", ""
 )
 ORACLE["city_status_wide"] = _with(M, _scored(1500), LATEST, _STATUS_ROW)
+ORACLE["stream_history_one"] = _with(
+    M, DAILY, FIRST, f"""SELECT {_HIST_COLUMNS} FROM f WHERE city = '{CITY}' ORDER BY "timestamp" DESC LIMIT 24"""
+)
 ORACLE["stream_status_one"] = ORACLE["status_one"]
 ORACLE["stream_repeated_outcomes"] = ORACLE["stream_outcomes"]
 ORACLE["registry_semi_join_salted"] = ORACLE["registry_semi_join"]

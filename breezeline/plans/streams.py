@@ -66,6 +66,13 @@ def stream_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stream_history_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One city's latest rows, looked up in the newest days of the monitor's history."""
+    root = monitored(spark, inputs.daily_readings(spark, sf_dir), _land_readings)
+    history = tables.city_history(spark, monitor.Tables(root).history, inputs.CITY)
+    return history.select(*H.HISTORY_COLUMNS[:-1], F.unix_seconds("timestamp").alias("timestamp"))
+
+
 def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = monitored(spark, inputs.readings(spark, sf_dir), _land_readings)
     return monitor.status_now(spark, root)

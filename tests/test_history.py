@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import random
 
 import pytest
 from data import reading, readings
@@ -135,3 +136,71 @@ def test_only_days_of_the_batch_are_opened(spark, tmp_path, monkeypatch, listed)
     tables.append_history(readings(spark, second), path, 1)
     got = tables.read_history(spark, path).where("date <> '1970-04-11'").select("city", "aqi").collect()
     assert sorted(map(tuple, got)) == [("a", 2), ("a", 3), ("b", 5)]
+
+
+@pytest.mark.parametrize("bound", [tables.BROADCAST_BYTES, 0])
+def test_append_both_ways(spark, tmp_path, monkeypatch, bound):
+    """Keys of a batch broadcast to the stored rows or shuffled with them: the same history."""
+    monkeypatch.setattr(tables, "BROADCAST_BYTES", bound)
+    path, rng = str(tmp_path / "history"), random.Random(5)
+    tables.create_history(spark, path)
+    rows = [reading(i, rng.choice("aab"), i, rng.randrange(30) * 40000) for i in range(120)]
+    for n in range(3):
+        tables.append_history(readings(spark, rows[n * 40 : n * 40 + 40]), path, n)
+    want = {}
+    for r in rows:
+        want.setdefault((r[1], r[8]), r[2])
+    got = tables.read_history(spark, path).selectExpr("city", "unix_seconds(timestamp) s", "aqi").collect()
+    assert sorted((r.city, r.s, r.aqi) for r in got) == sorted((c, s, v) for (c, s), v in want.items())
+
+
+def test_stored_rows_are_not_shuffled(spark, tmp_path):
+    path = str(tmp_path / "history")
+    tables.create_history(spark, path)
+    tables.append_history(readings(spark, [reading(0, "a", 1, 5)]), path, 0)
+    rows = H.first_rows(readings(spark, [reading(1, "a", 2, 5), reading(2, "b", 2, 5)])).persist()
+    rows.count()
+    new = H.not_yet(rows, tables.read_history(spark, path), few=True)
+    assert [r.city for r in new.collect()] == ["b"]
+    text = new._jdf.queryExecution().executedPlan().toString()
+    stored = text[: text.index("InMemoryTableScan")] if "InMemoryTableScan" in text else text
+    assert "Exchange hashpartitioning" not in stored
+    rows.unpersist()
+
+
+def stored_days(spark, path, days):
+    """A history with one row of "often" a day and one of "rare" on the oldest day."""
+    tables.create_history(spark, path)
+    rows = [reading(i, "often", i, i * 86400) for i in range(days)] + [reading(days, "rare", 7, 60)]
+    tables.append_history(readings(spark, rows), path, 0)
+
+
+def opened(df):
+    return {f.split("date=")[1].split("/")[0] for f in df.inputFiles()}
+
+
+def test_lookup_opens_the_newest_days_only(spark, tmp_path):
+    for days in (20, 60):
+        path = str(tmp_path / f"h{days}")
+        stored_days(spark, path, days)
+        got = tables.city_history(spark, path, "often", 5)
+        assert [r.aqi for r in got.collect()] == list(range(days - 1, days - 6, -1))
+        assert len(opened(got)) == 8
+        rare = tables.city_history(spark, path, "rare", 5)
+        assert [r.aqi for r in rare.collect()] == [7] and len(opened(rare)) == days
+        assert tables.city_history(spark, path, "none").collect() == []
+        whole = tables.read_history(spark, path)
+        assert tables.city_history(spark, path, "often", 1000).collect() == H.city_history(whole, "often", 1000).collect()
+
+
+def test_lookup_in_odd_histories(spark, tmp_path):
+    path = str(tmp_path / "h")
+    assert tables.city_history(spark, path, "a").collect() == []
+    tables.create_history(spark, path)
+    assert tables.city_history(spark, path, "a").collect() == []
+    with pytest.raises(ValueError, match="must be between 1 and 1000"):
+        tables.city_history(spark, path, "a", 0)
+    late = [reading(0, "a", 1, 253402300800 + 5), reading(1, "a", 2, 5), reading(2, "a", 3, -86400 * 365)]
+    tables.append_history(readings(spark, late), path, 0)
+    assert [r.aqi for r in tables.city_history(spark, path, "a", 0, clamp=True).select("aqi").collect()] == [1]
+    assert [r.aqi for r in tables.city_history(spark, path, "a").select("aqi").collect()] == [1, 2, 3]
