@@ -13,8 +13,9 @@ above 16 bits of rank, so that XOR with the a asked for leaves the rank, or more
 than 16 bits.
 
 The words that most packs share are folded once, ahead of the packs, and handed
-to the packs as a cache of at most ``COMMON`` words. Which words are in it
-changes the time only: a pack folds every word that the cache does not hold.
+to the packs as a cache of at most ``COMMON`` words, two Arrow arrays that a pack
+looks all its words up in at once. Which words are in it changes the time only: a
+pack folds every word that the cache does not hold.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,8 +35,8 @@ from pyspark.sql import functions as F
 from ._memory import lean
 
 PACK_BYTES = 10 << 20  # text of a pack; a longer text is a pack of its own
-COMMON = 200_000  # words of the cache
-COMMON_DOCS = 20_000  # documents, as many as are expected, that the cache's words are counted in
+COMMON = 400_000  # words of the cache
+COMMON_DOCS = 30_000  # documents, as many as are expected, that the cache's words are counted in
 LONG = 256  # bytes; longer words are merged with a heap, as a fold over them would be quadratic
 
 PACK = (
@@ -145,11 +147,23 @@ class _Numbers(dict):
         return self.numbers(first) + list(chain.from_iterable(found))
 
 
-def _byte_tokens(words: list[bytes], ranks: dict[bytes, int]) -> pa.ListArray:
+@lru_cache(maxsize=4)
+def _tokens(path: str) -> tuple[pa.Array, np.ndarray]:
+    """All tokens and their ranks."""
+    ranks = read_ranks(path)
+    return pa.array(list(ranks), pa.binary()), np.array(list(ranks.values()), np.int32)
+
+
+def _found(words: pa.Array, among: pa.Array) -> np.ndarray:
+    """The place of each word in another array, -1 if it is not there."""
+    return pc.fill_null(pc.index_in(words, value_set=among), -1).to_numpy(zero_copy_only=False)
+
+
+def _byte_tokens(words: pa.Array, ranks: dict[bytes, int]) -> pa.ListArray:
     """The ranks of each word's single bytes."""
-    byte = bytes(ranks[bytes([b])] for b in range(256))  # a single byte's rank is below 256
-    letters = np.frombuffer(b"".join(words).translate(byte), np.uint8).astype(np.int32)
-    ends = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int32)
+    byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+    ends = np.concatenate([[0], np.cumsum(pc.binary_length(words).to_numpy(zero_copy_only=False))]).astype(np.int32)
+    letters = byte[np.frombuffer(b"".join(words.to_pylist()), np.uint8)]
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(letters))
 
 
@@ -157,15 +171,16 @@ def _one_row(values) -> pa.ListArray:
     return pa.ListArray.from_arrays([0, len(values)], values)
 
 
-def _common_words(texts: DataFrame, path: str, pattern: str, table) -> dict[str, list[int]]:
-    """word: tokens, of at most ``COMMON`` words that several parts of a sample of the texts share.
+def _common_words(texts: DataFrame, path: str, pattern: str, table) -> tuple[pa.Array, pa.ListArray]:
+    """Words and their tokens, of at most ``COMMON`` words that several parts of a sample of the texts share.
 
     The sample and so the cache have a fixed expected size, whatever the table's.
     """
     split = regex.compile(pattern).findall
     rows = texts.count()
+    none = pa.array([], pa.binary()), pa.array([], pa.list_(pa.int32()))
     if not rows:
-        return {}
+        return none
 
     def seen(batches):
         ranks, words = read_ranks(path), {}
@@ -181,50 +196,48 @@ def _common_words(texts: DataFrame, path: str, pattern: str, table) -> dict[str,
         words = [w for batch in batches for w in batch.column(0).to_pylist()]
         if words:
             shift, pairs = table.value
-            letters = _byte_tokens([w.encode() for w in words], read_ranks(path))
-            values = [_one_row(pa.array(words, pa.string())), _one_row(letters), *map(_one_row, map(pa.array, (shift, pairs)))]
+            names = pa.array(words, pa.string()).cast(pa.binary())
+            letters = _byte_tokens(names, read_ranks(path))
+            values = [_one_row(names), _one_row(letters), *map(_one_row, map(pa.array, (shift, pairs)))]
             yield pa.RecordBatch.from_arrays(values, names=["names", "words", "shift", "pairs"])
 
     sample = texts.select("text").sample(fraction=min(1.0, COMMON_DOCS / rows), seed=1)
     counts = sample.mapInArrow(seen, "word string").groupBy("word").agg(F.count("*").alias("parts"))
     most = counts.where("parts > 1").orderBy(F.desc("parts"), "word").limit(COMMON).select("word")
     packs = most.repartition(16).mapInArrow(
-        pack, "names array<string>, words array<array<int>>, shift array<int>, pairs array<long>"
+        pack, "names array<binary>, words array<array<int>>, shift array<int>, pairs array<long>"
     )
     merged = F.transform("words", lambda word: _folded(word, F.col("shift"), F.col("pairs")))
     found = packs.select("names", merged.alias("words")).toArrow()
-    return {
-        word: tokens
-        for names, words in zip(*(found.column(c).to_pylist() for c in (0, 1)))
-        for word, tokens in zip(names, words)
-    }
+    if not found.num_rows:
+        return none
+    names, tokens = (pa.concat_arrays([c.flatten() for c in found.column(i).chunks]) for i in (0, 1))
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(tokens).to_numpy(zero_copy_only=False))]).astype(np.int32)
+    return names.cast(pa.binary()), pa.ListArray.from_arrays(pa.array(ends), tokens.flatten().cast(pa.int32()))
 
 
 def _packer(path, pattern, table, cache, pack_bytes):
     split = regex.compile(pattern).findall
 
     def pack(ids, kept, rows, words, ranks):
-        common = cache.value
-        known, short, longs = np.full(len(words), -1, np.int32), [], []
-        for i, word in enumerate(words):
-            raw = word.encode()
-            one = ranks.get(raw)
-            if one is not None:
-                known[i] = one
-            elif len(raw) > LONG:
-                known[i] = -2
-                longs.append(heap_merged(raw, ranks))
-            elif word in common:
-                known[i] = -2
-                longs.append(common[word])
-            else:
-                short.append(raw)
+        names, merged = cache.value
+        tokens, rank = _tokens(path)
+        words = pa.array(list(words), pa.string()).cast(pa.binary())
+        whole, common = _found(words, tokens), _found(words, names)
+        known = np.where(whole >= 0, rank[whole], -1).astype(np.int32)
+        large = np.flatnonzero((known == -1) & (pc.binary_length(words).to_numpy(zero_copy_only=False) > LONG))
+        cached = np.flatnonzero((known == -1) & (common >= 0))
+        heaps = pa.array([heap_merged(words[int(i)].as_py(), ranks) for i in large], pa.list_(pa.int32()))
+        order = np.argsort(np.concatenate([cached, large]), kind="stable")
+        longs = pa.concat_arrays([merged.take(pa.array(common[cached])), heaps]).take(pa.array(order))
+        known[cached], known[large] = -2, -2
+        short = words.filter(pa.array(known == -1))
         shift, pairs = table.value
         sizes = np.array([len(r) for r in rows], np.int32)
         places = np.concatenate(rows) if rows else np.zeros(0, np.uint32)
         values = [
             pa.array([ids], pa.list_(pa.int64())), pa.array([kept], pa.list_(pa.int64())), _one_row(pa.array(sizes)), pa.array([places.tobytes()], pa.binary()),
-            _one_row(pa.array(known)), pa.array([longs], pa.list_(pa.list_(pa.int32()))),
+            _one_row(pa.array(known)), _one_row(longs),
             _one_row(_byte_tokens(short, ranks)), _one_row(pa.array(shift)), _one_row(pa.array(pairs)),
         ]
         return pa.RecordBatch.from_arrays(values, names=[x.split()[0] for x in PACK.split(", ")])
