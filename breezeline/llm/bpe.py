@@ -4,7 +4,15 @@ Texts are packed, a few MiB at a time, into rows that hold the pack's distinct
 words as arrays of byte tokens, and for every text the numbers of its words. A
 fold over each distinct word then merges, again and again, the leftmost of the
 neighbours with the lowest rank. Texts are put together from the merged words
-in the same row, so nothing is shuffled. Decoding concatenates binary pieces.
+in the same row, by Spark functions too, so nothing is shuffled and a task needs
+one Python worker only, the one that splits texts into words. Decoding
+concatenates the tokens' pieces, written as hexadecimal digits, which are turned
+into bytes at the end.
+
+The fold's state is one array of whole numbers, one for each token left: the rank
+of its pair with the next token, the place of its first byte and the token, from
+high bits to low. The least of them is the leftmost of the lowest rank, and a
+merge works out two ranks anew.
 
 The rank map travels in the pack as two arrays instead of as a literal map,
 which Spark would search entry by entry: the pair (a, b) is at ``shift[a] + b``,
@@ -39,9 +47,12 @@ COMMON = 400_000  # words of the cache
 COMMON_DOCS = 30_000  # documents, as many as are expected, that the cache's words are counted in
 LONG = 256  # bytes; longer words are merged with a heap, as a fold over them would be quadratic
 
+NO_RANK = 1 << 36  # above all entries of the pair table, and 24 bits below the sign
+LOW = 24  # bits of the fold's state below the rank: 8 for the place, 16 for the token
+
 PACK = (
-    "ids array<long>, kept array<long>, sizes array<int>, places binary, known array<int>, longs array<array<int>>,"
-    " words array<array<int>>, shift array<int>, pairs array<long>"
+    "ids array<long>, kept array<long>, places array<array<int>>, done array<array<int>>,"
+    " words array<array<int>>, shift array<int>, pairs array<long>, pieces array<string>"
 )
 
 
@@ -92,7 +103,7 @@ def pair_table(path: str) -> tuple[np.ndarray, np.ndarray]:
         pairs[at + b] = (a << 16) | rank
     last = int(np.flatnonzero(used)[-1]) + size + 1 if used.any() else size
     table = pairs[:last].astype(np.int64)
-    table[~used[:last]] = 1 << 40
+    table[~used[:last]] = NO_RANK
     return shift, table
 
 
@@ -154,6 +165,16 @@ def _tokens(path: str) -> tuple[pa.Array, np.ndarray]:
     return pa.array(list(ranks), pa.binary()), np.array(list(ranks.values()), np.int32)
 
 
+@lru_cache(maxsize=4)
+def _pieces(path: str) -> pa.Array:
+    """The bytes of each token, as hexadecimal digits at its rank; ranks without a token have none."""
+    ranks = read_ranks(path)
+    found = [None] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        found[rank] = token.hex()
+    return pa.array(found, pa.string())
+
+
 def _found(words: pa.Array, among: pa.Array) -> np.ndarray:
     """The place of each word in another array, -1 if it is not there."""
     return pc.fill_null(pc.index_in(words, value_set=among), -1).to_numpy(zero_copy_only=False)
@@ -216,7 +237,7 @@ def _common_words(texts: DataFrame, path: str, pattern: str, table) -> tuple[pa.
     return names.cast(pa.binary()), pa.ListArray.from_arrays(pa.array(ends), tokens.flatten().cast(pa.int32()))
 
 
-def _packer(path, pattern, table, cache, pack_bytes):
+def _packer(path, pattern, table, cache, pack_bytes, decoded):
     split = regex.compile(pattern).findall
 
     def pack(ids, kept, rows, words, ranks):
@@ -224,22 +245,35 @@ def _packer(path, pattern, table, cache, pack_bytes):
         tokens, rank = _tokens(path)
         words = pa.array(list(words), pa.string()).cast(pa.binary())
         whole, common = _found(words, tokens), _found(words, names)
-        known = np.where(whole >= 0, rank[whole], -1).astype(np.int32)
-        large = np.flatnonzero((known == -1) & (pc.binary_length(words).to_numpy(zero_copy_only=False) > LONG))
-        cached = np.flatnonzero((known == -1) & (common >= 0))
-        heaps = pa.array([heap_merged(words[int(i)].as_py(), ranks) for i in large], pa.list_(pa.int32()))
-        order = np.argsort(np.concatenate([cached, large]), kind="stable")
-        longs = pa.concat_arrays([merged.take(pa.array(common[cached])), heaps]).take(pa.array(order))
-        known[cached], known[large] = -2, -2
-        short = words.filter(pa.array(known == -1))
+        known = whole >= 0
+        cached = ~known & (common >= 0)
+        large = ~known & ~cached & (pc.binary_length(words).to_numpy(zero_copy_only=False) > LONG)
+        short = ~known & ~cached & ~large
+        order = np.concatenate([np.flatnonzero(mask) for mask in (known, cached, large, short)])
+        number = np.empty(len(order), np.int32)  # of each word among those that are done and those to fold
+        number[order] = np.arange(len(order), dtype=np.int32)
+        single = rank[whole[known]]
+        heaps = [heap_merged(words[int(i)].as_py(), ranks) for i in np.flatnonzero(large)]
+        done = pa.concat_arrays(
+            [
+                pa.ListArray.from_arrays(pa.array(np.arange(len(single) + 1, dtype=np.int32)), pa.array(single)),
+                merged.take(pa.array(common[cached])),
+                pa.array(heaps, pa.list_(pa.int32())),
+            ]
+        )
+        ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+        places = number[np.concatenate(rows)] if rows else number[:0]
         shift, pairs = table.value
-        sizes = np.array([len(r) for r in rows], np.int32)
-        places = np.concatenate(rows) if rows else np.zeros(0, np.uint32)
         values = [
-            pa.array([ids], pa.list_(pa.int64())), pa.array([kept], pa.list_(pa.int64())), _one_row(pa.array(sizes)), pa.array([places.tobytes()], pa.binary()),
-            _one_row(pa.array(known)), _one_row(longs),
-            _one_row(_byte_tokens(short, ranks)), _one_row(pa.array(shift)), _one_row(pa.array(pairs)),
-        ]
+            pa.array([ids], pa.list_(pa.int64())),
+            pa.array([kept], pa.list_(pa.int64())),
+            _one_row(pa.ListArray.from_arrays(pa.array(ends), pa.array(places))),
+            _one_row(done),
+            _one_row(_byte_tokens(words.filter(pa.array(short)), ranks)),
+            _one_row(pa.array(shift)),
+            _one_row(pa.array(pairs)),
+            _one_row(_pieces(path) if decoded else pa.array([], pa.string())),
+        ]
         return pa.RecordBatch.from_arrays(values, names=[x.split()[0] for x in PACK.split(", ")])
 
     def run(batches):
@@ -265,19 +299,6 @@ def _packer(path, pattern, table, cache, pack_bytes):
     return run
 
 
-def _unpacker(path, decoded):
-    def run(batches):
-        pieces = {rank: token for token, rank in read_ranks(path).items()} if decoded else None
-        for batch in _unpacked(batches):
-            if decoded:
-                batch = pa.RecordBatch.from_arrays(
-                    [*batch.columns, _joined(batch.column(2), pieces)], names=["id", "kept", "tokens", "decoded"]
-                )
-            yield batch
-
-    return run
-
-
 def _joined(lists: pa.ListArray, pieces: dict[int, bytes]) -> pa.Array:
     """For each list of tokens, their pieces in one binary; a null list gives none."""
     flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
@@ -286,63 +307,68 @@ def _joined(lists: pa.ListArray, pieces: dict[int, bytes]) -> pa.Array:
     return pa.array([b"".join(map(pieces.__getitem__, row)) for row in rows], pa.binary())
 
 
-def _unpacked(batches):
-    for batch in batches:
-        for i in range(batch.num_rows):
-            row = batch.slice(i, 1)
-            ids, kept, sizes, known = (row.column(c).flatten() for c in (0, 1, 2, 4))
-            places = np.frombuffer(row.column(3)[0].as_buffer(), np.uint32)
-            known, sizes = known.to_numpy(), sizes.to_numpy()
-            count = np.ones(len(known), np.int64)
-            tokens = [known]
-            start = np.arange(len(known))
-            at = len(known)
-            for mark, column in ((-2, 5), (-1, 6)):
-                lists = row.column(column).flatten()
-                ends = np.diff(lists.offsets.to_numpy())
-                flat = lists.flatten().to_numpy()
-                count[known == mark] = ends
-                start[known == mark] = at + np.cumsum(ends) - ends
-                tokens.append(flat)
-                at += len(flat)
-            tokens = np.concatenate(tokens).astype(np.int32)
-            stop = np.concatenate([[0], np.cumsum(sizes)])
-            low = 0
-            while low < len(ids):  # a few hundred thousand words at once
-                high = max(low + 1, int(np.searchsorted(stop, stop[low] + 500_000, side="right")) - 1)
-                part = places[stop[low] : stop[high]]
-                each = count[part]
-                ends = np.concatenate([[0], np.cumsum(each)])
-                index = np.repeat(start[part] - ends[:-1], each) + np.arange(ends[-1])
-                offsets = ends[stop[low : high + 1] - stop[low]].astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens[index]))
-                cells = [ids.slice(low, high - low), kept.slice(low, high - low), lists]
-                yield pa.RecordBatch.from_arrays(cells, names=["id", "kept", "tokens"])
-                low = high
-
-
 def _folded(word: Column, shift: Column, pairs: Column) -> Column:
     """The tokens that the word's byte tokens merge into."""
 
-    def rank(a, b):
-        return F.get(pairs, F.get(shift, a) + b).bitwiseXOR(F.shiftleft(a.cast("long"), 16))
+    def bits(state, mask):
+        return state.bitwiseAND(F.lit(mask).cast("long"))
+
+    def token(state):
+        return bits(state, 0xFFFF).cast("int")
+
+    def ranked(a, b, low):
+        rank = F.get(pairs, F.get(shift, a) + b).bitwiseXOR(F.shiftleft(a.cast("long"), 16))
+        return F.shiftleft(F.coalesce(rank, F.lit(NO_RANK)), LOW).bitwiseOR(low)
+
+    def start(a, place):
+        return ranked(a, F.get(word, place + 1), F.shiftleft(place.cast("long"), 16).bitwiseOR(a.cast("long")))
 
-    def state(tokens):
-        ranks = F.zip_with(tokens, F.slice(tokens, F.lit(2), F.size(tokens)), rank)
-        return F.struct(tokens.alias("tokens"), ranks.alias("ranks"))
+    def merge(states, _):
+        def at(least):
+            made = F.shiftright(least, LOW)
+            whole = made.cast("int")
 
-    def merge(old, _):
-        def at(best):
-            place = F.array_position(old["ranks"], best).cast("int")
-            head = F.slice(old["tokens"], F.lit(1), place - 1)
-            tail = F.slice(old["tokens"], place + 2, F.size(old["tokens"]))
-            merged = F.transform(F.array(F.concat(head, F.array(best.cast("int")), tail)), state)[0]
-            return F.when(best < 0x10000, merged).otherwise(old)
+            def around(place):
+                before, after = F.get(states, place - 2), F.get(states, place + 1)
+                left = ranked(token(before), whole, bits(before, (1 << LOW) - 1))
+                right = ranked(whole, token(after), bits(least, 0xFF0000).bitwiseOR(made))
+                head, tail = F.slice(states, F.lit(1), place - 2), F.slice(states, place + 2, F.size(states))
+                return F.concat(head, F.array(left, right), tail)
 
-        return F.transform(F.array(F.array_min(old["ranks"])), at)[0]
+            found = F.transform(F.array(F.array_position(states, least).cast("int")), around)[0]
+            return F.when(least < (0x10000 << LOW), found).otherwise(states)
 
+        return F.transform(F.array(F.array_min(states)), at)[0]
+
+    # a null ahead of all states: the first token has a place before it as well, and null merges with nothing
+    states = F.concat(F.array(F.lit(None).cast("long")), F.transform(word, start))
     steps = F.slice(word, F.lit(2), F.size(word))  # as many as there can be merges
-    return F.aggregate(steps, state(word), merge, lambda end: end["tokens"])
+    return F.aggregate(
+        steps, states, merge, lambda end: F.transform(F.slice(end, F.lit(2), F.size(end)), token)
+    )
+
+
+def _unpacked(packs: DataFrame, decoded: bool) -> DataFrame:
+    """A row for every text of the packs: (id, kept, tokens), and decoded if asked for."""
+
+    def text(words):
+        def row(tokens):
+            if not decoded:
+                return F.struct(tokens.alias("tokens"))
+            digits = F.array_join(F.transform(tokens, lambda t: F.get("pieces", t)), "")
+            return F.struct(tokens.alias("tokens"), F.unhex(digits).alias("decoded"))
+
+        def of_places(places):
+            tokens = F.flatten(F.transform(places, lambda place: F.get(words, place)))
+            return F.transform(F.array(tokens), row)[0]
+
+        return F.transform("places", of_places)
+
+    folded = F.transform("words", lambda word: _folded(word, F.col("shift"), F.col("pairs")))
+    texts = F.transform(F.array(F.concat("done", folded)), text)[0]
+    rows = packs.select("ids", "kept", texts.alias("texts"))
+    rows = rows.select(F.inline(F.arrays_zip("ids", "kept", "texts")).alias("id", "kept", "text"))
+    return rows.select("id", "kept", "text.*")
 
 
 def encode(
@@ -371,11 +397,8 @@ def encode(
     kept = (F.col(keep) if keep else F.lit(None)).cast("long").alias("kept")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), kept)
     cache = share(_common_words(texts, path, pattern, table))
-    packs = texts.mapInArrow(lean(_packer(path, pattern, table, cache, pack_bytes)), PACK)
-    merged = F.transform("words", lambda word: _folded(word, F.col("shift"), F.col("pairs")))
-    packs = packs.select("ids", "kept", "sizes", "places", "known", "longs", merged.alias("words"))
-    kind = "id long, kept long, tokens array<int>" + ", decoded binary" * decoded
-    out = packs.mapInArrow(lean(_unpacker(path, decoded)), kind)
+    packs = texts.mapInArrow(lean(_packer(path, pattern, table, cache, pack_bytes, decoded)), PACK)
+    out = _unpacked(packs, decoded)
     out = out.withColumnRenamed("kept", keep) if keep else out.drop("kept")
     return out.withColumnRenamed("id", id_col)
 
