@@ -132,30 +132,59 @@ def heap_merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in range(n) if not gone[i]]
 
 
-class _Numbers(dict):
-    """chunk between single spaces: numbers of its words; None if it takes a look at its neighbours."""
+def _spaced(text: str) -> bool:
+    """Whether the text is empty or has white space at an end, so that its words depend on what is beside it."""
+    return not text or text[0].isspace() or text[-1].isspace()
 
-    def __init__(self, words, split):
-        self.words, self.split = words, split
 
-    def __missing__(self, chunk):
-        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-            found = None
-        else:
-            found = self.numbers(" " + chunk)
-        self[chunk] = found
-        return found
+def _words_of(chunks: list[str], split) -> tuple[list[str], np.ndarray]:
+    """The words of all chunks, a space ahead of each, and how many each has; no chunk is spaced."""
+    ends = np.cumsum([len(c) + 1 for c in chunks], dtype=np.int64)
+    words = split(" " + " ".join(chunks)) if chunks else []
+    stops = np.cumsum([len(w) for w in words], dtype=np.int64)
+    upto = np.searchsorted(stops, ends, side="right")
+    if len(chunks) and (upto[-1] != len(words) or not upto.all() or (stops[upto - 1] != ends).any()):
+        found = [split(" " + c) for c in chunks]  # a pattern that leaves something out or reaches over chunks
+        return list(chain.from_iterable(found)), np.array([len(f) for f in found], np.int64)
+    return words, np.diff(upto, prepend=0)
 
-    def numbers(self, text):
-        words = self.words
-        return [words.setdefault(w, len(words)) for w in self.split(text)]
 
-    def of_text(self, text):
-        first, *rest = text.split(" ")
-        found = [self[c] for c in rest]
-        if rest and (None in found or not first or first[-1].isspace()):
-            return self.numbers(text)
-        return self.numbers(first) + list(chain.from_iterable(found))
+def _split_texts(texts: list[str], split) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(how many words each text has, the words' numbers text by text, the distinct words).
+
+    Texts are cut at single spaces, and the distinct chunks between these are split
+    into words all at once. A text in which white space meets a cut is split as a whole.
+    """
+    parts = pc.split_pattern(pa.array(texts, pa.string()), " ")
+    many = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+    first = np.cumsum(many) - many
+    coded = parts.flatten().dictionary_encode()
+    del parts
+    place, chunks = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+    del coded
+    spaced = np.fromiter(map(_spaced, chunks), bool, len(chunks))
+    later = np.ones(len(place), bool)
+    later[first] = False
+    heads = [chunks[i] for i in place[first].tolist()]
+    odd = np.array([not h or h[-1].isspace() for h in heads], bool)
+    whole = (odd | (np.add.reduceat(spaced[place] & later, first) > 0)) & (many > 1)
+
+    used = ~spaced
+    words, counts = _words_of([c for c, u in zip(chunks, used.tolist()) if u], split)
+    count = np.zeros(len(chunks), np.int64)
+    count[used] = counts
+    low = np.cumsum(count) - count
+    own = [split(text if all_of_it else head) for text, head, all_of_it in zip(texts, heads, whole.tolist())]
+    size = np.array([len(o) for o in own], np.int64)
+
+    count, start = count[place], low[place]
+    count[np.repeat(whole, many)] = 0
+    count[first], start[first] = size, len(words) + np.cumsum(size) - size
+    words += chain.from_iterable(own)
+    coded = pa.array(words, pa.string()).dictionary_encode()
+    ends = np.cumsum(count)
+    index = np.repeat(start - ends + count, count) + np.arange(count.sum())
+    return np.add.reduceat(count, first), coded.indices.to_numpy(zero_copy_only=False)[index], coded.dictionary
 
 
 @lru_cache(maxsize=4)
@@ -188,11 +217,29 @@ def _byte_tokens(words: pa.Array, ranks: dict[bytes, int]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(letters))
 
 
+def _text_packs(batches, size: int):
+    """The batches' columns as lists, the last of them texts, in packs of so many characters; a null text is empty."""
+    kept, chars = None, 0
+    for batch in batches:
+        for i in range(0, batch.num_rows, 256):
+            part = batch.slice(i, 256)
+            kept = kept or [[] for _ in part.columns]
+            for *values, text in zip(*(column.to_pylist() for column in part.columns)):
+                for column, value in zip(kept, (*values, text or "")):
+                    column.append(value)
+                chars += len(text or "")
+                if chars >= size:
+                    yield kept
+                    kept, chars = [[] for _ in part.columns], 0
+    if kept and kept[0]:
+        yield kept
+
+
 def _one_row(values) -> pa.ListArray:
     return pa.ListArray.from_arrays([0, len(values)], values)
 
 
-def _common_words(texts: DataFrame, path: str, pattern: str, table) -> tuple[pa.Array, pa.ListArray]:
+def _common_words(texts: DataFrame, path: str, pattern: str, table, pack_bytes: int) -> tuple[pa.Array, pa.ListArray]:
     """Words and their tokens, of at most ``COMMON`` words that several parts of a sample of the texts share.
 
     The sample and so the cache have a fixed expected size, whatever the table's.
@@ -204,12 +251,9 @@ def _common_words(texts: DataFrame, path: str, pattern: str, table) -> tuple[pa.
         return none
 
     def seen(batches):
-        ranks, words = read_ranks(path), {}
-        chunks = _Numbers(words, split)
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                for text in batch.slice(i, 256).column(0).to_pylist():
-                    chunks.of_text(text or "")
+        ranks, words = read_ranks(path), set()
+        for part in _text_packs(batches, pack_bytes):
+            words.update(_split_texts(part[-1], split)[2].to_pylist())
         found = [w for w in words if len(raw := w.encode()) <= LONG and raw not in ranks]
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["word"])
 
@@ -240,10 +284,11 @@ def _common_words(texts: DataFrame, path: str, pattern: str, table) -> tuple[pa.
 def _packer(path, pattern, table, cache, pack_bytes, decoded):
     split = regex.compile(pattern).findall
 
-    def pack(ids, kept, rows, words, ranks):
+    def pack(ids, kept, texts, ranks):
         names, merged = cache.value
         tokens, rank = _tokens(path)
-        words = pa.array(list(words), pa.string()).cast(pa.binary())
+        sizes, numbers, words = _split_texts(texts, split)
+        words = words.cast(pa.binary())
         whole, common = _found(words, tokens), _found(words, names)
         known = whole >= 0
         cached = ~known & (common >= 0)
@@ -261,8 +306,8 @@ def _packer(path, pattern, table, cache, pack_bytes, decoded):
                 pa.array(heaps, pa.list_(pa.int32())),
             ]
         )
-        ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-        places = number[np.concatenate(rows)] if rows else number[:0]
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        places = number[numbers]
         shift, pairs = table.value
         values = [
             pa.array([ids], pa.list_(pa.int64())),
@@ -278,23 +323,8 @@ def _packer(path, pattern, table, cache, pack_bytes, decoded):
 
     def run(batches):
         ranks = read_ranks(path)
-        ids, kept, rows, size, words = [], [], [], 0, {}
-        chunks = _Numbers(words, split)
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                for row, text, extra in zip(*(part.column(c).to_pylist() for c in range(3))):
-                    text = text or ""
-                    ids.append(row)
-                    kept.append(extra)
-                    rows.append(np.array(chunks.of_text(text), np.uint32))
-                    size += len(text)
-                    if size >= pack_bytes:
-                        yield pack(ids, kept, rows, words, ranks)
-                        ids, kept, rows, size, words = [], [], [], 0, {}
-                        chunks = _Numbers(words, split)
-        if ids:
-            yield pack(ids, kept, rows, words, ranks)
+        for part in _text_packs(batches, pack_bytes):
+            yield pack(*part, ranks)
 
     return run
 
@@ -395,8 +425,8 @@ def encode(
     share = docs.sparkSession.sparkContext.broadcast
     table = share(pair_table(path))
     kept = (F.col(keep) if keep else F.lit(None)).cast("long").alias("kept")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), kept)
-    cache = share(_common_words(texts, path, pattern, table))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), kept, F.col(text_col).alias("text"))
+    cache = share(_common_words(texts, path, pattern, table, pack_bytes))
     packs = texts.mapInArrow(lean(_packer(path, pattern, table, cache, pack_bytes, decoded)), PACK)
     out = _unpacked(packs, decoded)
     out = out.withColumnRenamed("kept", keep) if keep else out.drop("kept")
