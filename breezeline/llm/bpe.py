@@ -42,9 +42,9 @@ from pyspark.sql import functions as F
 
 from ._memory import lean
 
-PACK_BYTES = 10 << 20  # text of a pack; a longer text is a pack of its own
-COMMON = 400_000  # words of the cache
-COMMON_DOCS = 30_000  # documents, as many as are expected, that the cache's words are counted in
+PACK_BYTES = 6 << 20  # text of a pack; a longer text is a pack of its own
+COMMON = 600_000  # words of the cache
+COMMON_DOCS = 60_000  # documents, as many as are expected, that the cache's words are counted in
 LONG = 256  # bytes; longer words are merged with a heap, as a fold over them would be quadratic
 
 NO_RANK = 1 << 36  # above all entries of the pair table, and 24 bits below the sign
@@ -362,7 +362,7 @@ def _folded(word: Column, shift: Column, pairs: Column) -> Column:
                 before, after = F.get(states, place - 2), F.get(states, place + 1)
                 left = ranked(token(before), whole, bits(before, (1 << LOW) - 1))
                 right = ranked(whole, token(after), bits(least, 0xFF0000).bitwiseOR(made))
-                head, tail = F.slice(states, F.lit(1), place - 2), F.slice(states, place + 2, F.size(states))
+                head, tail = F.slice(states, F.lit(1), place - 2), F.slice(states, place + 2, most)
                 return F.concat(head, F.array(left, right), tail)
 
             found = F.transform(F.array(F.array_position(states, least).cast("int")), around)[0]
@@ -370,11 +370,12 @@ def _folded(word: Column, shift: Column, pairs: Column) -> Column:
 
         return F.transform(F.array(F.array_min(states)), at)[0]
 
+    most = F.lit(LONG + 1)  # states of a word; a slice ends where the array does
     # a null ahead of all states: the first token has a place before it as well, and null merges with nothing
     states = F.concat(F.array(F.lit(None).cast("long")), F.transform(word, start))
     steps = F.slice(word, F.lit(2), F.size(word))  # as many as there can be merges
     return F.aggregate(
-        steps, states, merge, lambda end: F.transform(F.slice(end, F.lit(2), F.size(end)), token)
+        steps, states, merge, lambda end: F.transform(F.slice(end, F.lit(2), most), token)
     )
 
 
