@@ -382,11 +382,11 @@ def _folded(word: Column, shift: Column, pairs: Column) -> Column:
 def _unpacked(packs: DataFrame, decoded: bool) -> DataFrame:
     """A row for every text of the packs: (id, kept, tokens), and decoded if asked for."""
 
-    def text(words):
+    def of_pack(words, pieces):
         def row(tokens):
             if not decoded:
                 return F.struct(tokens.alias("tokens"))
-            digits = F.array_join(F.transform(tokens, lambda t: F.get("pieces", t)), "")
+            digits = F.array_join(F.transform(tokens, lambda token: F.get(pieces, token)), "")
             return F.struct(tokens.alias("tokens"), F.unhex(digits).alias("decoded"))
 
         def of_places(places):
@@ -395,8 +395,13 @@ def _unpacked(packs: DataFrame, decoded: bool) -> DataFrame:
 
         return F.transform("places", of_places)
 
+    # taken out of the row once, not anew at each of the many places that share them
+    done = F.transform("done", lambda word: F.transform(word, lambda token: token))
+    pieces = F.transform("pieces", lambda piece: piece)
     folded = F.transform("words", lambda word: _folded(word, F.col("shift"), F.col("pairs")))
-    texts = F.transform(F.array(F.concat("done", folded)), text)[0]
+    texts = F.transform(
+        F.array(F.concat(done, folded)), lambda words: F.transform(F.array(pieces), lambda each: of_pack(words, each))[0]
+    )[0]
     rows = packs.select("ids", "kept", texts.alias("texts"))
     rows = rows.select(F.inline(F.arrays_zip("ids", "kept", "texts")).alias("id", "kept", "text"))
     return rows.select("id", "kept", "text.*")
