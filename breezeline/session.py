@@ -4,10 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+ADAPTIVE = {
+    "spark.sql.adaptive.enabled": "true",
+    # also the last shuffle of what is kept in memory
+    "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning": "true",
+}
 
 
 def get_session(app: str = "breezeline", master: str | None = None, **conf) -> SparkSession:
@@ -49,3 +56,22 @@ def work_dir(spark: SparkSession) -> str:
     if spark.sparkContext.master.startswith("local"):
         return tempfile.mkdtemp(prefix="breezeline-")
     raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
+
+
+@contextmanager
+def adaptive(spark: SparkSession) -> Iterator[None]:
+    """Adaptive execution inside the block, and what was set before after it.
+
+    A stream with state runs in a session of its own without it, since the
+    partitions of the state must stay as they are. What ``foreachBatch`` does
+    with a finished batch has no state: there small partitions are merged, and
+    hints to rebalance, which are ignored without it, even out the files.
+    """
+    before = {key: spark.conf.get(key) for key in ADAPTIVE}
+    for key, value in ADAPTIVE.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)

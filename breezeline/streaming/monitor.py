@@ -17,6 +17,7 @@ from ..operators.rolling import WINDOW_SIZE, check_window
 from ..operators.skew import SPLIT_ROWS
 from ..operators.status import STATUS_COLUMNS
 from ..schemas import MEASUREMENT, STATUS, TOPIC_RECORD
+from ..session import adaptive
 from ..sources import files, tables
 from .carry import CARRY, carried_values, new_readings, read_state
 
@@ -98,6 +99,20 @@ def write_monitored(
 ) -> None:
     """All results of one micro-batch. Repeating it leaves the tables as they are."""
     spark = batch.sparkSession
+    with adaptive(spark):
+        _write_monitored(spark, batch, batch_id, out, size, threshold, multiplier, split_rows)
+
+
+def _write_monitored(
+    spark: SparkSession,
+    batch: DataFrame,
+    batch_id: int,
+    out: Tables,
+    size: int,
+    threshold: int,
+    multiplier: float,
+    split_rows: int,
+) -> None:
     # every result below reads the batch; keep it instead of decoding it again
     batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -157,10 +172,7 @@ def status_now(spark: SparkSession, root: str, city: str | None = None) -> DataF
     out = Tables(root)
     if not files.names(spark, f"{out.checkpoint}/commits"):
         return spark.createDataFrame([], STATUS)
-    state = read_state(spark, out.checkpoint)
-    if city is not None:
-        state = state.where(F.col("city") == city)
-    return state.select(
+    return read_state(spark, out.checkpoint, city).select(
         "city",
         F.element_at("values", -1).alias("currentAqi"),
         ema_of_array(F.col("values")).alias("ema"),

@@ -10,9 +10,10 @@ from pyspark.sql import types as T
 from breezeline.operators import history as H
 from breezeline.operators import messages, scoring, status
 from breezeline.schemas import HISTORY, REGISTRY, RESPONSE
+from breezeline.session import adaptive
 from breezeline.sources import tables, topic
 from breezeline.sources.responses import stream_responses
-from breezeline.streaming import monitor, poller
+from breezeline.streaming import carry, monitor, poller
 
 
 def stream_rows(count=240):
@@ -227,3 +228,66 @@ def test_repeated_poll_publishes_once(spark, tmp_path):
         run(spark, f"{root}/topic/batch_id=0", str(tmp_path / "monitor"))
     got = monitor.read_scored(spark, str(tmp_path / "monitor")).collect()
     assert sorted(r.seq for r in got) == [0, 1, 2]
+
+
+def test_a_batch_is_written_adaptively_and_the_state_is_not(spark, tmp_path):
+    """Few files a day however many shuffle partitions there are; the stream's own plan stays as it is."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.shuffle.partitions", "50")
+    landing, root = str(tmp_path / "topic"), str(tmp_path / "out")
+    rows = [reading(n, f"c{n}", n, timestamp=1600000000 + n % 3 * 86400) for n in range(300)]
+    topic.write_files(session.createDataFrame(readings(spark, rows).rdd, readings(spark, rows).schema), landing)
+    run(session, landing, root)
+    files = list((tmp_path / "out" / "history").glob("date=*/batch_id=0/*.parquet"))
+    assert len({f.parent for f in files}) == 3 and len(files) <= 6
+    with adaptive(session):
+        assert session.conf.get("spark.sql.adaptive.enabled") == "true"
+    session.conf.set("spark.sql.adaptive.enabled", "false")
+    with pytest.raises(ValueError), adaptive(session):
+        raise ValueError
+    assert session.conf.get("spark.sql.adaptive.enabled") == "false"
+
+
+def test_state_is_one_key_for_many_cities(spark, tmp_path):
+    """Python is called once a bucket, not once a city, and each city keeps its own values."""
+    landing, root = str(tmp_path / "topic"), str(tmp_path / "out")
+    cities = 3 * carry.BUCKETS
+    for low in (0, 2):
+        sent = spark.range(cities).selectExpr(f"explode(array({low}, {low + 1})) AS step", "id").selectExpr(
+            "step + 10 * id AS seq", "concat('c', id) AS city", "cast(id % 90 + step AS int) AS aqi",
+            "1D AS co", "1D AS no2", "1D AS pm10", "1D AS pm25", "1D AS temperature", "id AS timestamp",
+            "1D AS latitude", "1D AS longitude",
+        )
+        topic.write_files(sent, landing)
+        run(spark, landing, root, size=3)
+    kept = spark.read.format("statestore").load(monitor.Tables(root).checkpoint)
+    assert kept.count() <= carry.BUCKETS
+    got = carry.read_state(spark, monitor.Tables(root).checkpoint).select("city", "values", "seq").collect()
+    want = [(f"c{n}", [n % 90 + 1, n % 90 + 2, n % 90 + 3], 10 * n + 3) for n in range(cities)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_repeats_across_arrow_batches_of_one_bucket(spark):
+    """Readings of a bucket's cities that come in several parts, some again, leave the last of each city."""
+    import pandas as pd
+
+    class State:
+        exists, get, seen = False, None, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    def part(*rows):
+        shown = {f.name: 0.0 for f in carry.LAST.fields}
+        return pd.DataFrame([{"city": c, "seq": n, "aqi": v, **shown, "timestamp": n} for c, n, v in rows])
+
+    state, update = State(), carry.remember(2)
+    first = [part(("a", 5, 50), ("b", 1, 10)), part(("a", 3, 30), ("a", 5, 50), ("a", 4, 40))]
+    (out,) = update((0,), iter(first), state)
+    assert out.values.tolist() == [["a", [], carry.NO_NUMBER], ["b", [], carry.NO_NUMBER]]
+    (out,) = update((0,), iter([part(("a", 4, 40), ("c", 9, 90)), part(("a", 7, 70))]), state)
+    assert out.values.tolist() == [["a", [40, 50], 5], ["c", [], carry.NO_NUMBER]]
+    (out,) = update((0,), iter([part(("b", 1, 10))]), state)
+    assert out.values.tolist() == [["b", [10], 1]]
+    cities, values, numbers = state.get[:3]
+    assert dict(zip(cities, zip(values, numbers))) == {"a": ([50, 70], 7), "b": ([10], 1), "c": ([90], 9)}
