@@ -1,7 +1,7 @@
-"""Memory that Python workers give back between batches.
+"""Memory that Python workers give back between batches, and the driver after training.
 
-A worker lives on after its task. What it has freed stays with its allocators and
-would count against the executor's memory while other stages run.
+A worker lives on after its task, as the driver does. What it has freed stays with its
+allocators and would count against the executor's memory while other stages run.
 """
 
 from __future__ import annotations
@@ -20,6 +20,12 @@ def _trim():
         return lambda _: 0
 
 
+def give_back():
+    """Free memory of this process goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def lean(run):
     """The same function over batches; free memory goes back to the system after each result and at the end."""
 
@@ -28,10 +34,8 @@ def lean(run):
             for out in run(batches):
                 yield out
                 del out
-                pa.default_memory_pool().release_unused()
-                _trim()(0)
+                give_back()
         finally:
-            pa.default_memory_pool().release_unused()
-            _trim()(0)
+            give_back()
 
     return wrapped

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._memory import lean
+from ._memory import give_back, lean
 
 TOXIC_ROWS, CLEAN_ROWS = 2000, 4000  # labelled rows at most that the network is trained on
 TRAIN_BYTES = 20_000  # longer labelled texts are not trained on (all are scored whole)
@@ -217,18 +217,22 @@ class Model:
         return np.where(np.isfinite(worst), p, 0.0)
 
 
+def _with_words(texts: list[str], labels: np.ndarray):
+    """(bytes, words, their hashes, label) of each text that has words, one at a time, since together they are larger than the texts."""
+    for text, label in zip(texts, labels):
+        data = np.frombuffer(text.encode(), np.uint8)
+        words = W.Words(data, np.array([0, len(data)]))
+        if len(words.start):
+            yield data, words, words.hashes(fold=True), label
+
+
 def fit(texts: list[str], labels: np.ndarray, seed: int = 3) -> Model:
     """A model from texts and labels (1: toxic)."""
     lexicon, network = Lexicon(), Network(seed)
     labels = np.asarray(labels, np.int64)
-    docs = []
-    for text, label in zip(texts, labels):
-        data = np.frombuffer(text.encode(), np.uint8)
-        words = W.Words(data, np.array([0, len(data)]))
-        if not len(words.start):
-            continue
-        hashes = words.hashes(fold=True)
-        docs.append((data, words, hashes, label))
+    marks = []  # labels of the texts that have words
+    for data, words, hashes, label in _with_words(texts, labels):
+        marks.append(label)
         lexicon.texts[label] += 1
         np.add.at(lexicon.words[label], np.unique(_bucket(hashes)), 1)
         np.add.at(lexicon.parts[label], np.unique(_bucket(_word_parts(data, words.start, words.end)[0])), 1)
@@ -237,7 +241,7 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 3) -> Model:
         network.shift = 6.0 if lexicon.texts[1] else -6.0
         return Model(lexicon, network)
     xs, keeps, ys, owner = [], [], [], []
-    for i, (data, words, hashes, label) in enumerate(docs):
+    for i, (data, words, hashes, label) in enumerate(_with_words(texts, labels)):
         x = lexicon.inputs(data, words.start, words.end, hashes, own=label)
         table, _ = _window_table(words.count, words.ptr[:-1], len(x))
         keep = table < len(x)
@@ -266,13 +270,13 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 3) -> Model:
                 first[k] = 0.9 * first[k] + 0.1 * grad
                 second[k] = 0.99 * second[k] + 0.01 * grad**2
                 network.p[k] -= rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)
-    worst = np.full(len(docs), -np.inf)
+    worst = np.full(len(marks), -np.inf)
     gates = {s: (x @ network.p["W" + s] + network.p["c" + s]).reshape(-1, 3 * HIDDEN) for s in "fb"}
     index = np.arange(len(x) * WINDOW).reshape(-1, WINDOW)
     for low in range(0, len(x), 4096):
         part = slice(low, low + 4096)
         np.maximum.at(worst, owner[part], network.logits(gates, keep[part], index[part]))
-    network.scale, network.shift = _calibrated(worst, np.array([d[3] for d in docs]))
+    network.scale, network.shift = _calibrated(worst, np.array(marks))
     return Model(lexicon, network)
 
 
@@ -309,7 +313,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = texts.where(F.octet_length("text") <= TRAIN_BYTES)
     rows = texts.join(F.broadcast(picked), "id").toArrow()
     rows = rows.sort_by([("id", "ascending"), ("text", "ascending")])
-    return fit(rows.column("text").to_pylist(), rows.column("label").to_numpy())
+    sample, marks = rows.column("text").to_pylist(), rows.column("label").to_numpy().copy()
+    del rows
+    try:
+        return fit(sample, marks)
+    finally:
+        del sample
+        give_back()  # the stages after it need the driver's memory
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

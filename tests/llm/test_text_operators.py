@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -222,3 +223,18 @@ def test_main_text(spark):
 )
 def test_empty_table(docs, run):
     assert run(docs.limit(0)).collect() == []
+
+
+def test_training_takes_little_more_memory_than_its_texts():
+    """The words of the sample are looked at text by text; the model is that of the same texts."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    words = np.array([f"{n:x}" for n in range(3000)])
+    texts = [" ".join(rng.choice(words, 5000)) for _ in range(200)]
+    tracemalloc.start()
+    model = toxicity.fit(texts, np.arange(200) % 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * sum(map(len, texts)) + (16 << 20)
+    assert np.isfinite([model.network.scale, model.network.shift]).all()
