@@ -40,7 +40,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._memory import lean
+from ._memory import lean, small_batches
 
 PACK_BYTES = 6 << 20  # text of a pack; a longer text is a pack of its own
 COMMON = 600_000  # words of the cache
@@ -205,8 +205,15 @@ def _pieces(path: str) -> pa.Array:
 
 
 def _found(words: pa.Array, among: pa.Array) -> np.ndarray:
-    """The place of each word in another array, -1 if it is not there."""
-    return pc.fill_null(pc.index_in(words, value_set=among), -1).to_numpy(zero_copy_only=False)
+    """The place of each word in another array, -1 if it is not there; neither array has a value twice.
+
+    The other one may be much larger, so the hash table is of the words.
+    """
+    at = pc.fill_null(pc.index_in(among, value_set=words), -1).to_numpy(zero_copy_only=False)
+    there = np.flatnonzero(at >= 0)
+    found = np.full(len(words), -1, np.int32)
+    found[at[there]] = there
+    return found
 
 
 def _byte_tokens(words: pa.Array, ranks: dict[bytes, int]) -> pa.ListArray:
@@ -267,7 +274,7 @@ def _common_words(texts: DataFrame, path: str, pattern: str, table, pack_bytes:
             yield pa.RecordBatch.from_arrays(values, names=["names", "words", "shift", "pairs"])
 
     sample = texts.select("text").sample(fraction=min(1.0, COMMON_DOCS / rows), seed=1)
-    counts = sample.mapInArrow(seen, "word string").groupBy("word").agg(F.count("*").alias("parts"))
+    counts = sample.mapInArrow(lean(seen), "word string").groupBy("word").agg(F.count("*").alias("parts"))
     most = counts.where("parts > 1").orderBy(F.desc("parts"), "word").limit(COMMON).select("word")
     packs = most.repartition(16).mapInArrow(
         pack, "names array<binary>, words array<array<int>>, shift array<int>, pairs array<long>"
@@ -426,8 +433,10 @@ def encode(
     are ignored; an empty table gives an empty result. With ``decoded``, the
     column decoded has the bytes that ``decode`` would make of the tokens. ``keep``
     names a column of whole numbers that comes out beside the id. Smaller packs
-    take less memory and fold more words anew.
+    take less memory and fold more words anew. The session sends smaller Arrow
+    batches from then on (``_memory.small_batches``).
     """
+    small_batches(docs.sparkSession)
     share = docs.sparkSession.sparkContext.broadcast
     table = share(pair_table(path))
     kept = (F.col(keep) if keep else F.lit(None)).cast("long").alias("kept")

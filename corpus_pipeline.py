@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from breezeline.llm import bpe, mixing, near_copies, personal_data, toxicity
+from breezeline.llm._memory import small_batches
 from breezeline.session import work_dir
 
 TOXIC_FROM = 0.7
@@ -28,12 +29,14 @@ ROW_BITS = 40  # of a position; the bits above are the file's part
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below ``TOXIC_FROM``."""
+    small_batches(spark)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.scored(docs, model).where(F.col("score") < TOXIC_FROM).select(*docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of every group of near copies (five-word shingles, similarity 0.8)."""
+    small_batches(spark)
     groups = near_copies.near_copies(docs, size=5)
     path = work_dir(spark) + "/copies"
     groups.where(~F.col("kept")).select("doc_id").distinct().write.parquet(path)
