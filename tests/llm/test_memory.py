@@ -25,11 +25,11 @@ def largest_batch(df):
 
 
 @pytest.mark.parametrize("stage", ["toxicity", "near_copies", "bpe"])
-def test_stages_send_small_batches(spark, arrow_bytes, stage):
+def test_stages_send_small_batches(spark, arrow_bytes, stage, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    dict(corpus_pipeline.STAGES)[stage](spark, docs, sf)
+    docs = spark.range(20).selectExpr("id AS doc_id", "concat('some text of ', id) AS text", "'s' AS source", "20L AS n_chars")
+    docs.selectExpr("doc_id", "cast(doc_id % 2 AS int) AS toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    dict(corpus_pipeline.STAGES)[stage](spark, docs, str(tmp_path))
     large = spark.range(0, 2000, 1, 1).selectExpr("id", "repeat('ab cd ', 2000) AS text")
     assert 0 < largest_batch(large) < 1.5 * _memory.BATCH_BYTES
 
