@@ -23,7 +23,7 @@ from breezeline.session import work_dir
 
 TOXIC_FROM = 0.7
 BROADCAST_IDS = 2_000_000  # more ids than this are joined by a shuffle
-PACK_BYTES = 4 << 20  # of text encoded at once, next to what the stages before have left in memory
+PACK_BYTES = 2 << 20  # of text encoded at once, next to what the stages before have left in memory
 ROW_BITS = 40  # of a position; the bits above are the file's part
 
 
