@@ -1,7 +1,7 @@
 """Byte-level BPE: ranked merges folded by Spark over the distinct words of packs of texts.
 
 Texts are packed, a few MiB at a time, into rows that hold the pack's distinct
-words as arrays of byte tokens, and for every text the numbers of its words. A
+words as arrays of ranked byte tokens, and for every text the numbers of its words. A
 fold over each distinct word then merges, again and again, the leftmost of the
 neighbours with the lowest rank. Texts are put together from the merged words
 in the same row, by Spark functions too, so nothing is shuffled and a task needs
@@ -10,9 +10,12 @@ concatenates the tokens' pieces, written as hexadecimal digits, which are turned
 into bytes at the end.
 
 The fold's state is one array of whole numbers, one for each token left: the rank
-of its pair with the next token, the place of its first byte and the token, from
+of its pair with the next token, its place among the tokens and the token, from
 high bits to low. The least of them is the leftmost of the lowest rank, and a
-merge works out two ranks anew.
+merge works out two ranks anew and moves the places behind it down by one, so that
+the least one tells where it is and no search is needed. Spark interprets the fold:
+an ``aggregate`` over one value names it without copying the states, ``flatten``
+joins arrays in less time than ``concat``, and the first ranks come with the pack.
 
 The rank map travels in the pack as two arrays instead of as a literal map,
 which Spark would search entry by entry: the pair (a, b) is at ``shift[a] + b``,
@@ -52,7 +55,7 @@ LOW = 24  # bits of the fold's state below the rank: 8 for the place, 16 for the
 
 PACK = (
     "ids array<long>, kept array<long>, places array<array<int>>, done array<array<int>>,"
-    " words array<array<int>>, shift array<int>, pairs array<long>, pieces array<string>"
+    " words array<array<long>>, shift array<int>, pairs array<long>, pieces array<string>"
 )
 
 
@@ -216,12 +219,24 @@ def _found(words: pa.Array, among: pa.Array) -> np.ndarray:
     return found
 
 
-def _byte_tokens(words: pa.Array, ranks: dict[bytes, int]) -> pa.ListArray:
-    """The ranks of each word's single bytes."""
-    byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-    ends = np.concatenate([[0], np.cumsum(pc.binary_length(words).to_numpy(zero_copy_only=False))]).astype(np.int32)
-    letters = byte[np.frombuffer(b"".join(words.to_pylist()), np.uint8)]
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(letters))
+def _byte_states(words: pa.Array, ranks: dict[bytes, int], table: tuple[np.ndarray, np.ndarray]) -> pa.ListArray:
+    """The fold's states of each word's single bytes, behind a null; words have at most ``LONG`` bytes.
+
+    With the null, the first token has a place before it as well, and null merges with nothing.
+    """
+    shift, pairs = table
+    byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+    ends = np.concatenate([[0], np.cumsum(pc.binary_length(words).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    token = byte[np.frombuffer(b"".join(words.to_pylist()), np.uint8)]
+    rank = np.full(len(token), NO_RANK)
+    rank[:-1] = pairs[shift[token[:-1]] + token[1:]] ^ (token[:-1] << 16)
+    rank[ends[1:][np.diff(ends) > 0] - 1] = NO_RANK
+    word = np.repeat(np.arange(len(words)), np.diff(ends))
+    at = np.arange(len(token)) + word + 1
+    states, none = np.zeros(len(token) + len(words), np.int64), np.ones(len(token) + len(words), bool)
+    states[at] = (rank << LOW) | (np.arange(len(token)) - ends[word] << 16) | token
+    none[at] = False
+    return pa.ListArray.from_arrays(pa.array((ends + np.arange(len(ends))).astype(np.int32)), pa.array(states, mask=none))
 
 
 def _text_packs(batches, size: int):
@@ -267,17 +282,16 @@ def _common_words(texts: DataFrame, path: str, pattern: str, table, pack_bytes:
     def pack(batches):
         words = [w for batch in batches for w in batch.column(0).to_pylist()]
         if words:
-            shift, pairs = table.value
             names = pa.array(words, pa.string()).cast(pa.binary())
-            letters = _byte_tokens(names, read_ranks(path))
-            values = [_one_row(names), _one_row(letters), *map(_one_row, map(pa.array, (shift, pairs)))]
+            states = _byte_states(names, read_ranks(path), table.value)
+            values = [_one_row(names), _one_row(states), *map(_one_row, map(pa.array, table.value))]
             yield pa.RecordBatch.from_arrays(values, names=["names", "words", "shift", "pairs"])
 
     sample = texts.select("text").sample(fraction=min(1.0, COMMON_DOCS / rows), seed=1)
     counts = sample.mapInArrow(lean(seen), "word string").groupBy("word").agg(F.count("*").alias("parts"))
     most = counts.where("parts > 1").orderBy(F.desc("parts"), "word").limit(COMMON).select("word")
     packs = most.repartition(16).mapInArrow(
-        pack, "names array<binary>, words array<array<int>>, shift array<int>, pairs array<long>"
+        pack, "names array<binary>, words array<array<long>>, shift array<int>, pairs array<long>"
     )
     merged = F.transform("words", lambda word: _folded(word, F.col("shift"), F.col("pairs")))
     found = packs.select("names", merged.alias("words")).toArrow()
@@ -321,7 +335,7 @@ def _packer(path, pattern, table, cache, pack_bytes, decoded):
             pa.array([kept], pa.list_(pa.int64())),
             _one_row(pa.ListArray.from_arrays(pa.array(ends), pa.array(places))),
             _one_row(done),
-            _one_row(_byte_tokens(words.filter(pa.array(short)), ranks)),
+            _one_row(_byte_states(words.filter(pa.array(short)), ranks, table.value)),
             _one_row(pa.array(shift)),
             _one_row(pa.array(pairs)),
             _one_row(_pieces(path) if decoded else pa.array([], pa.string())),
@@ -345,7 +359,7 @@ def _joined(lists: pa.ListArray, pieces: dict[int, bytes]) -> pa.Array:
 
 
 def _folded(word: Column, shift: Column, pairs: Column) -> Column:
-    """The tokens that the word's byte tokens merge into."""
+    """The tokens that the word's byte tokens merge into; they come as states (``_byte_states``)."""
 
     def bits(state, mask):
         return state.bitwiseAND(F.lit(mask).cast("long"))
@@ -357,33 +371,24 @@ def _folded(word: Column, shift: Column, pairs: Column) -> Column:
         rank = F.get(pairs, F.get(shift, a) + b).bitwiseXOR(F.shiftleft(a.cast("long"), 16))
         return F.shiftleft(F.coalesce(rank, F.lit(NO_RANK)), LOW).bitwiseOR(low)
 
-    def start(a, place):
-        return ranked(a, F.get(word, place + 1), F.shiftleft(place.cast("long"), 16).bitwiseOR(a.cast("long")))
-
-    def merge(states, _):
-        def at(least):
-            made = F.shiftright(least, LOW)
-            whole = made.cast("int")
-
-            def around(place):
-                before, after = F.get(states, place - 2), F.get(states, place + 1)
-                left = ranked(token(before), whole, bits(before, (1 << LOW) - 1))
-                right = ranked(whole, token(after), bits(least, 0xFF0000).bitwiseOR(made))
-                head, tail = F.slice(states, F.lit(1), place - 2), F.slice(states, place + 2, most)
-                return F.concat(head, F.array(left, right), tail)
-
-            found = F.transform(F.array(F.array_position(states, least).cast("int")), around)[0]
-            return F.when(least < (0x10000 << LOW), found).otherwise(states)
-
-        return F.transform(F.array(F.array_min(states)), at)[0]
+    def merged(states, least):
+        made = F.shiftright(least, LOW)
+        whole = made.cast("int")
+        place = F.shiftright(bits(least, 0xFF0000), 16).cast("int")
+        before, after = F.get(states, place), F.get(states, place + 3)
+        left = ranked(token(before), whole, bits(before, (1 << LOW) - 1))
+        right = ranked(whole, token(after), bits(least, 0xFF0000).bitwiseOR(made))
+        head, tail = F.slice(states, F.lit(1), place), F.slice(states, place + 4, most)
+        moved = F.transform(tail, lambda state: state - F.lit(1 << 16))
+        found = F.flatten(F.array(head, F.array(left, right), moved))
+        return F.when(least < (0x10000 << LOW), found).otherwise(states)
+
+    def step(states, _):
+        return F.aggregate(F.array(F.array_min(states)), states, merged)
 
     most = F.lit(LONG + 1)  # states of a word; a slice ends where the array does
-    # a null ahead of all states: the first token has a place before it as well, and null merges with nothing
-    states = F.concat(F.array(F.lit(None).cast("long")), F.transform(word, start))
-    steps = F.slice(word, F.lit(2), F.size(word))  # as many as there can be merges
-    return F.aggregate(
-        steps, states, merge, lambda end: F.transform(F.slice(end, F.lit(2), most), token)
-    )
+    # as many steps as there are states are more than there can be merges
+    return F.aggregate(word, word, step, lambda end: F.transform(F.slice(end, F.lit(2), most), token))
 
 
 def _unpacked(packs: DataFrame, decoded: bool) -> DataFrame:

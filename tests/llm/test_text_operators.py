@@ -145,6 +145,20 @@ def test_bpe(docs):
     assert bpe.heap_merged(word.encode(), bpe.read_ranks(path)) == coding.encode_ordinary(word)
 
 
+def test_bpe_folds_without_a_search(spark):
+    tokens = pytest.importorskip("public_tokenizers")
+    path = tokens.path("byte_bpe_multi_50k.tiktoken")
+    ranks, rng = bpe.read_ranks(path), random.Random(8)
+    words = ["".join(rng.choices("abeinrstéß中", k=n)) for n in range(1, 80)]
+    words += ["ab" * 128, "a" * 256, "中" * 85, "e" * 257, "nt" * 64 + "é", ""]
+    rows = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "doc_id long, text string")
+    coded = bpe.encode(rows, path, r"\S+")
+    got = by_id(coded)
+    assert [got[i]["tokens"] for i in range(len(words))] == [bpe.heap_merged(w.encode(), ranks) for w in words]
+    # the least state tells its place; a search of all states at every merge took most of the fold's time
+    assert "array_position" not in coded._jdf.queryExecution().toString()
+
+
 def test_mixing_keeps_shares_and_rows(docs):
     mix = mixing.mixed(docs, block=64, period=100).collect()
     assert len(mix) == docs.count()
